@@ -84,20 +84,30 @@ def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int =
         i = j
 
 
+def lowered(block: Block) -> np.ndarray:
+    """The block's bytes with A-Z and the capitals among U+00C0-U+00DE in lower case; lengths don't change."""
+    n = int(block.bounds[-1])
+    low = _LOWER[block.data]
+    lead = np.flatnonzero(block.data[:n] == 0xC3)
+    tail = block.data[lead + 1]
+    low[lead[(tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)] + 1] += 32
+    return low
+
+
 def words(block: Block) -> Words:
     w = spans(block)
     w.hash = hashes(block.data, w.starts, w.ends)
     return w
 
 
-def spans(block: Block) -> Words:
-    """The words without their hashes."""
+def spans(block: Block, between: np.ndarray = _SEP) -> Words:
+    """The words without their hashes; between: of each byte, whether it stands between words."""
     n = int(block.bounds[-1])
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(0, np.uint64), np.zeros(len(block.bounds), np.int64))
     data = block.data
-    sep = _SEP[data[:n]]
+    sep = between[data[:n]]
     edge = np.empty(n, bool)
     edge[0], edge[1:] = True, sep[:-1]
     edge[block.bounds[:-1][block.bounds[:-1] < n]] = True
