@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import neardup, packing, quality, sharding, token_counts, token_files, tokens, toxicity
+from lodestar.llm import chat, neardup, packing, quality, sharding, token_counts, token_files, tokens, toxicity
 from lodestar.llm.common import table
 
 
@@ -39,6 +39,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokens.default_path())
 
 
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = F.lit(CONTROL_TEXT)
+    extra = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), own)
+    return chat.digest(chat.transcripts(turns.union(extra)))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
@@ -52,5 +62,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_sharding, op4_toxicity, op5_token_counts, op7_near_duplicates, op9_packing, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_sharding, op4_toxicity, op5_token_counts, op6_chat, op7_near_duplicates, op9_packing, op10_token_files)}
 ORACLE: dict[str, str] = {}
