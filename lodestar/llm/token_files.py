@@ -115,12 +115,12 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id"
     table = spark.sparkContext.broadcast(lookup)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, crcs, counts, raw, held, number = [], [], [], [], 0, 0
+        keys, crcs, counts, raw, held, number, base = [], [], [], [], 0, 0, 0
 
         def made() -> pa.RecordBatch:
             ranks = table.value[np.frombuffer(b"".join(raw), "<u2")]
             out = pack_block(keys, np.array(crcs), np.array(counts), ranks)
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "n_ids": [len(ranks)], "data": pa.array([out], pa.binary())})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "base": [base], "n_ids": [len(ranks)], "data": pa.array([out], pa.binary())})
 
         for batch in batches:
             shard = batch.column(4)[0].as_py()
@@ -129,21 +129,21 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id"
                 held += n
                 if held >= BLOCK_IDS:
                     yield made()
-                    keys, crcs, counts, raw, held, number = [], [], [], [], 0, number + 1
+                    keys, crcs, counts, raw, held, number, base = [], [], [], [], 0, number + 1, base + held
         if keys:
             yield made()
 
     dealt = encoded.repartitionByRange("key", "crc").sortWithinPartitions("key", "crc").select("key", "n", "crc", "ids", F.spark_partition_id())
-    dealt.mapInArrow(pack, "shard int, block int, n_ids long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt.mapInArrow(pack, "shard int, block int, base long, n_ids long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_files(spark, path: str) -> DataFrame:
     """Per document, read from the blocks: key, start (ids of all documents before), n_tokens, ids (binary, unsigned 32-bit).
 
-    Starts are sums over shards, then over a shard's blocks, then within a block; the first two have a row per
-    shard or block, never one per document.
+    A block's row has the number of ids before it in its shard; the sums over shards, of which there are as many
+    as shuffle partitions, are broadcast. Decoded ids stay in the task that read them.
     """
-    blocks = spark.read.schema("shard int, block int, n_ids long, data binary").parquet(f"{path}/blocks")
+    blocks = spark.read.schema("shard int, block int, base long, n_ids long, data binary").parquet(f"{path}/blocks")
     ranks = spark.read.schema("ids binary").parquet(f"{path}/ranks").first()
     ids = spark.sparkContext.broadcast(np.frombuffer(bytes(ranks[0]) if ranks else b"", "<u4"))
 
@@ -156,16 +156,13 @@ def read_files(spark, path: str) -> DataFrame:
             if any(zlib.crc32(x) != c for x, c in zip(raw, crcs.tolist(), strict=True)):
                 raise ValueError("a document's ids differ from those written")
             n = len(keys)
-            yield {"shard": pa.array([batch.column(0)[i].as_py()] * n, pa.int32()), "block": pa.array([batch.column(1)[i].as_py()] * n, pa.int32()), "key": pa.array(keys, pa.int64()), "at": ends - counts, "n_tokens": counts, "ids": pa.array(raw, pa.binary())}
+            yield {"shard": pa.array([batch.column(0)[i].as_py()] * n, pa.int32()), "key": pa.array(keys, pa.int64()), "at": ends - counts + batch.column(1)[i].as_py(), "n_tokens": counts, "ids": pa.array(raw, pa.binary())}
 
-    sizes = blocks.select("shard", "block", "n_ids")
-    within = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), zero).alias("shard_base"))
-    bases = sizes.select("shard", "block", F.coalesce(F.sum("n_ids").over(within), zero).alias("block_base")).join(F.broadcast(shards), "shard")
-    docs = arrow_map(blocks.select("shard", "block", "data"), "shard int, block int, key long, at long, n_tokens long, ids binary", unpack)
-    return docs.join(bases, ["shard", "block"]).select("key", (F.col("shard_base") + F.col("block_base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), zero).alias("shard_base"))
+    docs = arrow_map(blocks.select("shard", "base", "data"), "shard int, key long, at long, n_tokens long, ids binary", unpack)
+    return docs.join(F.broadcast(shards), "shard").select("key", (F.col("shard_base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
