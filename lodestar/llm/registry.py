@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, html_text, neardup, packing, quality, sharding, token_counts, token_files, tokens, toxicity
+from lodestar.llm import chat, decontamination, html_text, neardup, packing, quality, sharding, token_counts, token_files, tokens, toxicity
 from lodestar.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path())
 
@@ -66,5 +70,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_sharding, op3_html_text, op4_toxicity, op5_token_counts, op6_chat, op7_near_duplicates, op9_packing, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_sharding, op3_html_text, op4_toxicity, op5_token_counts, op6_chat, op7_near_duplicates, op8_decontamination, op9_packing, op10_token_files)}
 ORACLE: dict[str, str] = {}
