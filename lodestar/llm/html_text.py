@@ -234,7 +234,7 @@ def winners(pages: DataFrame, url: str = "url", source: str = "html") -> DataFra
         if got:
             yield {k: pa.array(v) for k, v in zip(("host", "path", "score"), zip(*got, strict=True), strict=True)}
 
-    votes = arrow_map(pages.select(hosts(F.col(url)), source), "host string, path string, score long", vote)
+    votes = arrow_map(pages.select(hosts(F.col(url)).alias("host"), source), "host string, path string, score long", vote)
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
     return counted.groupBy("host").agg(F.max(F.struct("votes", "score", "path")).alias("best")).select("host", "best.path")
 
