@@ -7,10 +7,11 @@ band with probability (1 - 0.8^5)^32 = 3e-6.
 
 How hot groups are handled, without a pair cap:
 1. Equal sets are one class, found by a 128-bit sum over the set (a partial aggregate), and go on as one.
-2. In each bucket every class is compared with the bucket's least id: rows, not pairs, of the bucket.
+2. In each bucket every class is compared with the bucket's least id and with the id whose buckets are fullest,
+   which near copies are likeliest to be copies of: rows, not pairs, of the bucket.
 3. Of components of the links so far, only buckets that still hold two components and three classes have
-   untested pairs. These are compared in tiles of at most TILE x TILE sketches; pairs within a component
-   are skipped, as no further link could change the result.
+   untested pairs. These are compared in tiles of bounded size; pairs within a component are skipped, as no
+   further link could change the result, and a tile emits at most one link per component.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from lodestar.llm.components import components
 
 BANDS, ROWS = 32, 5
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
-MARGIN = 0.18
-"""A pair goes on if its estimate is no more than this below the threshold: over 5 standard deviations at 160 registers."""
+MARGIN = 0.16
+"""A pair goes on if its estimate is no more than this below the threshold: 5 standard deviations at 160 registers."""
 TILE = 256
+MAX_BROADCAST = 1 << 20
+"""Ids, of 8 bytes each, that may be broadcast."""
 
 _M = BANDS * ROWS
 _RNG = np.random.default_rng(20_240_229)
@@ -95,10 +98,7 @@ def likeliest(more, less, same, nx, ny) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """id, n_shingles, f1, f2 (together the set's fingerprint), registers, elements (the set: 48-bit hashes, sorted).
-
-    Two different shingles of a pair of sets of 10^4 share 48 bits with probability below 10^-6.
-    """
+    """id, n_shingles, f1, f2 (together the set's fingerprint), registers (null for an empty set)."""
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         for block in wordscan.blocks(batch.column(1), lower=True):
@@ -106,19 +106,36 @@ def sketches(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
             size = np.diff(at)
             some = np.flatnonzero(size)
             f1, f2 = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
-            regs, sets = [None] * len(size), [None] * len(size)
+            regs = [None] * len(size)
             if len(some):
                 begin = np.append(at[some], at[-1])
                 f1[some] = np.add.reduceat(wordscan.mix(h ^ np.uint64(0x5851F42D4C957F2D)), begin[:-1])
                 f2[some] = np.add.reduceat(wordscan.mix(h + np.uint64(0x14057B7EF767814F)), begin[:-1])
                 r = registers(h, begin)
-                cut = h >> np.uint64(16)
                 for k, i in enumerate(some.tolist()):
                     regs[i] = r[k].tobytes()
-                    sets[i] = np.sort(cut[at[i] : at[i + 1]]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            yield {"id": batch.column(0).slice(block.first, len(size)), "n_shingles": size, "f1": f1.view(np.int64), "f2": f2.view(np.int64), "registers": pa.array(regs, pa.binary()), "elements": pa.array(sets, pa.binary())}
+            yield {"id": batch.column(0).slice(block.first, len(size)), "n_shingles": size, "f1": f1.view(np.int64), "f2": f2.view(np.int64), "registers": pa.array(regs, pa.binary())}
+
+    return arrow_map(docs.select(F.col(key).cast("long"), text), "id long, n_shingles long, f1 long, f2 long, registers binary", work)
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """id, elements: the whole sets, as sorted 48-bit hashes, of the documents in ids.
+
+    Two different shingles of a pair of sets of 10^4 share 48 bits with probability below 10^-6. Up to
+    MAX_BROADCAST ids are broadcast, so that texts needn't move; more are joined by a shuffle.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "id", "left_semi")
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        for block in wordscan.blocks(batch.column(1), lower=True):
+            h, at = shingles(wordscan.words(block), n)
+            cut = h >> np.uint64(16)
+            sets = [np.sort(cut[a:b]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield {"id": batch.column(0).slice(block.first, len(sets)), "elements": pa.array(sets, pa.binary())}
 
-    return arrow_map(docs.select(F.col(key).cast("long"), text), "id long, n_shingles long, f1 long, f2 long, registers binary, elements binary", work)
+    return arrow_map(rows, "id long, elements binary", work)
 
 
 def elements(raw: bytes) -> np.ndarray:
@@ -140,7 +157,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
     return arrow_map(reps.select("id", "registers"), "id long, bucket long", work)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those with 100 x intersection >= percent x union: first by likelihood, then on full sets."""
 
     def estimated(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -158,26 +175,26 @@ def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 ok.append(i)
         yield {"a": batch.column(0).take(pa.array(ok, pa.int64())), "b": batch.column(1).take(pa.array(ok, pa.int64()))}
 
-    def beside(pairs: DataFrame, *columns: str) -> DataFrame:
-        for end in "ba":  # the end with the fewer repetitions first
-            own = reps.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-            pairs = pairs.join(own, end)
+    def beside(pairs: DataFrame, own: DataFrame) -> DataFrame:
+        columns = [c for c in own.columns if c != "id"]
+        for end in "ba":  # the end with fewer repetitions first
+            pairs = pairs.join(own.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
         return pairs.select("a", "b", *[f"{c}_{end}" for c in columns for end in "ab"])
 
-    near = beside(pairs.distinct(), "registers", "n_shingles").where("100 * least(n_shingles_a, n_shingles_b) >= %d * greatest(n_shingles_a, n_shingles_b)" % percent)
+    near = beside(pairs.distinct(), reps.select("id", "registers", "n_shingles"))
+    near = near.where(f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)")
     likely = written(arrow_map(near, "a long, b long", estimated), "likely")
-    return arrow_map(beside(likely, "elements"), "a long, b long", exact)
+    ids = written(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "ids")
+    sets = written(full_sets(docs, ids, key, text, shingle), "sets")
+    return arrow_map(beside(likely, sets), "a long, b long", exact).distinct()
 
 
-def _untested(mixed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components, estimated as near enough, of buckets given as rows (bucket, n, id, root, n_shingles, registers)."""
-    blocks = F.ceil(F.col("n") / (TILE // 2)).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    tiled = mixed.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    tiled = tiled.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n_shingles", "registers")
-    dealt = tiled.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+def _tiled(rows: DataFrame, schema: str, work) -> DataFrame:
+    """Runs work over each tile, all rows with equal (bucket, i, j), at most TILE or so; it yields tuples of schema."""
+    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -188,28 +205,85 @@ def _untested(mixed: DataFrame) -> DataFrame:
             rest = t.slice(cut)
             if cut:
                 yield of(t.slice(0, cut), np.append(0, ends))
-        if rest is not None:
+        if rest is not None and rest.num_rows:
             yield of(rest, np.array([0, rest.num_rows]))
 
     def of(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
-        i, j, own, ids, root, size = (t[c].to_numpy() for c in ("i", "j", "own", "id", "root", "n_shingles"))
-        r = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint16).reshape(-1, _M)
-        a, b = [], []
-        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            left = s + np.flatnonzero(own[s:e] == i[s])
-            right = s + np.flatnonzero(own[s:e] == j[s])
-            x, y = (v.ravel() for v in np.meshgrid(left, right, indexing="ij"))
-            keep = (root[x] != root[y]) & ((ids[x] < ids[y]) if i[s] == j[s] else True)
-            x, y = x[keep], y[keep]
-            for c in range(0, len(x), 4096):
-                p, q = x[c : c + 4096], y[c : c + 4096]
-                near = (r[p] == r[q]).sum(1) >= _M // 3  # far below what a link has; the likelihood comes later
-                a.append(np.minimum(ids[p[near]], ids[q[near]]))
-                b.append(np.maximum(ids[p[near]], ids[q[near]]))
-        none = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_pydict({"a": np.concatenate(a or [none]), "b": np.concatenate(b or [none])})
-
-    return dealt.mapInArrow(pairs, "a long, b long")
+        own = {c: t[c].to_numpy() for c in ("bucket", "i", "j", "own", "id", "root", "n_shingles")}
+        own["registers"] = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint16).reshape(-1, _M)
+        own["elements"] = t["elements"] if "elements" in t.column_names else None
+        out = [row for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for row in work(own, s, e)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))], names)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _near(t: dict, s: int, e: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers x, y and estimates of a tile's pairs of different components that may be links."""
+    left = s + np.flatnonzero(t["own"][s:e] == t["i"][s])
+    right = s + np.flatnonzero(t["own"][s:e] == t["j"][s])
+    x, y = (v.ravel() for v in np.meshgrid(left, right, indexing="ij"))
+    size, root = t["n_shingles"], t["root"]
+    keep = (root[x] != root[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+    if t["i"][s] == t["j"][s]:
+        keep &= x < y
+    x, y = x[keep], y[keep]
+    score = np.zeros(len(x))
+    for c in range(0, len(x), 4096):
+        p, q = x[c : c + 4096], y[c : c + 4096]
+        score[c : c + 4096] = similarity(t["registers"][p], t["registers"][q], size[p].astype(float), size[q].astype(float))
+    good = np.flatnonzero(100 * (score + MARGIN) >= percent)
+    return x[good], y[good], score[good]
+
+
+def _untested(mixed: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of buckets given as rows (bucket, n, id, root, n_shingles, registers).
+
+    Tiles hold TILE / 2 rows of a bucket against as many. A first pass keeps the rows with a near row of another
+    component; a second, with their full sets, tests their pairs, likeliest first, and skips pairs whose
+    components the tile has already linked: it emits fewer links than it has components, never pairs.
+    """
+    blocks = F.ceil(F.col("n") / (TILE // 2)).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    tiled = mixed.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    tiled = tiled.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n_shingles", "registers")
+
+    def taking_part(t: dict, s: int, e: int) -> Iterator[tuple]:
+        x, y, _ = _near(t, s, e, percent)
+        for k in np.unique(np.concatenate([x, y])).tolist():
+            yield tuple(int(t[c][k]) for c in ("bucket", "i", "j", "own", "id", "root"))
+
+    part = written(_tiled(tiled, "bucket long, i long, j long, own long, id long, root long", taking_part), "part")
+    ids = written(part.select("id").distinct(), "ids")
+    sets = written(full_sets(docs, ids, key, text, shingle), "sets")
+    sizes = mixed.select("id", "n_shingles", "registers").dropDuplicates(["id"])
+    rows = part.join(sizes, "id").join(sets, "id")
+
+    def linked(t: dict, s: int, e: int) -> Iterator[tuple]:
+        x, y, score = _near(t, s, e, percent)
+        up: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while up.get(r, r) != r:
+                r = up[r]
+            return r
+
+        sets: dict[int, np.ndarray] = {}
+        for k in np.argsort(-score, kind="stable").tolist():
+            p, q = int(x[k]), int(y[k])
+            a, b = find(int(t["root"][p])), find(int(t["root"][q]))
+            if a == b:
+                continue
+            for r in (p, q):
+                if r not in sets:
+                    sets[r] = elements(t["elements"][r].as_py())
+            both = np.sort(np.concatenate([sets[p], sets[q]]))
+            common = int((both[1:] == both[:-1]).sum())
+            if 100 * common >= percent * (len(both) - common):
+                up[max(a, b)] = min(a, b)
+                yield int(t["id"][p]), int(t["id"][q])
+
+    return _tiled(rows, "a long, b long", linked)
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 2, percent: int = 80) -> DataFrame:
@@ -221,25 +295,28 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     """
     base = written(sketches(docs, key, text, shingle), "sketches")
     full = base.where("n_shingles > 0 and id is not null")
-    # f1 deals classes out; the class is (f1, f2, n_shingles)
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"))
-    reps = written(full.join(classes.withColumnRenamed("rep", "id"), ["f1", "f2", "n_shingles", "id"], "left_semi").dropDuplicates(["id", "f1", "f2"]).select("id", "n_shingles", "registers", "elements"), "classes")
+    reps = written(full.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("id"), F.first("registers").alias("registers")), "classes")
     bands = written(_buckets(reps), "bands")
     leads = bands.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     shared = written(bands.join(leads, "bucket"), "buckets")
-    links = written(_verified(shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")), reps, percent), "verified")
+    # a second lead: the id whose buckets are the fullest, so the text that others are copies of, if it's there
+    fame = shared.groupBy("id").agg(F.sum("n").alias("fame"))
+    second = shared.where("n > 2").join(fame, "id").groupBy("bucket").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("other"))
+    stars = shared.select(F.col("lead").alias("a"), F.col("id").alias("b")).union(shared.join(second, "bucket").select("other", "id"))
+    pairs = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = written(_verified(pairs, reps, docs, key, text, shingle, percent), "verified")
     first = components(links)
     large = shared.where("n > 2").join(first, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = large.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    open_rows = large.join(mixed, "bucket", "left_semi").join(reps.select("id", "n_shingles", "registers"), "id").select("bucket", "n", "id", "root", "n_shingles", "registers")
-    more = _verified(_untested(open_rows), reps, percent)
+    open_rows = written(large.join(mixed, "bucket", "left_semi").join(reps.select("id", "n_shingles", "registers"), "id").select("bucket", "n", "id", "root", "n_shingles", "registers"), "open")
+    more = _untested(open_rows, docs, key, text, shingle, percent)
     roots = components(first.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
-    named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    named = reps.select("f1", "f2", "n_shingles", "id").join(roots, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("root", "id").alias("component_id"))
     out = base.select("id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs of which groups() keeps the key; of rows that agree in every column, one stays."""
+    """The rows of docs of which groups() keeps the key. Repeated rows of a kept key all stay: they are one node."""
     gone = groups(docs, key, text, shingle, percent).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
     return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
