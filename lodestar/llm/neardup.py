@@ -31,7 +31,7 @@ BANDS, ROWS = 32, 5
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
 MARGIN = 0.16
 """A pair goes on if its estimate is no more than this below the threshold: 5 standard deviations at 160 registers."""
-TILE = 256
+TILE = 1024
 MAX_BROADCAST = 1 << 20
 """Ids, of 8 bytes each, that may be broadcast."""
 
