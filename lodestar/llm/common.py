@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,3 +73,12 @@ def salt_offsets(counts: DataFrame, group: str, salt: str) -> DataFrame:
     """counts (group, salt, n) to (group, salt, base)."""
     before = Window.partitionBy(group).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(group, salt, F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
+
+
+def give_back() -> None:
+    """Returns freed memory of the driver's Python to the system after a model was learnt; else it would add up over stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import wordscan
-from lodestar.llm.common import arrow_map
+from lodestar.llm.common import arrow_map, give_back
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 THRESHOLD = 0.25
-SAMPLE = 1200
+SAMPLE = 1000
 BITS = 11
 """Word unigrams and bigrams share 2^BITS buckets, character trigrams have as many."""
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -206,8 +206,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model
     _, first = np.unique(got["id"].to_numpy()[order], return_index=True)
     order = order[first]  # a repeated document counts once
     x = np.frombuffer(b"".join(got["x"].take(pa.array(order)).to_pylist()), np.float16).reshape(len(order), 2 << BITS).astype(np.float32)
+    y = got["label"].to_numpy()[order].astype(np.float64)
+    del got
     rng = np.random.default_rng(7).permutation(len(order))
-    return train(x[rng], got["label"].to_numpy()[order][rng].astype(np.float64))
+    model = train(x[rng], y[rng])
+    del x
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import wordscan
-from lodestar.llm.common import arrow_map
+from lodestar.llm.common import arrow_map, give_back
 from lodestar.llm.quality import labelled_sample, sigmoid
 
-SAMPLE = 1500
+SAMPLE = 1200
 BITS, DIM, FILTERS, WIDTHS = 22, 8, 6, (1, 2, 3)
 MIN_DOCS = 2
 HELD_OUT, FOLDS = 0, 5
@@ -68,10 +68,10 @@ def read(block: wordscan.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = wordscan.lowered(block)
     h = wordscan.hashes(low, w.starts, w.ends)
     n = w.ends - w.starts
-    out = np.empty((len(_PREFIX), len(h)), np.int64)
+    out = np.empty((len(_PREFIX), len(h)), np.int32)
     for k, most in enumerate(_PREFIX):
         part = wordscan.hashes(low, w.starts, np.minimum(w.ends, w.starts + most)) if most else h
-        out[k] = (wordscan.mix(part + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int64)
+        out[k] = (wordscan.mix(part + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int32)
         if most:
             out[k][n < most] = -1
     at = np.searchsorted(_WORDS, h)
@@ -100,7 +100,7 @@ class Model:
         """Numbers of embeddings for each word."""
         out = np.empty_like(buckets)
         for k in range(len(buckets)):
-            key = np.where(buckets[k] < 0, -1, buckets[k] + (k << BITS))
+            key = np.where(buckets[k] < 0, np.int32(-1), buckets[k] + np.int32(k << BITS))
             at = np.searchsorted(self.rows, key)
             at[at == len(self.rows)] = 0
             out[k] = np.where(self.rows[at] == key, at, len(self.rows)) if len(self.rows) else 0
@@ -158,12 +158,14 @@ def train(buckets: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int = 11, ep
     """Embeddings start from the shrunken log-odds of their buckets; then all is trained together by Adam."""
     docs = len(y)
     owner = np.repeat(np.arange(docs), np.diff(at))
-    key = np.where(buckets < 0, -1, buckets + (np.arange(len(buckets)) << BITS)[:, None])
-    pair = np.unique(np.stack([key.ravel(), np.tile(owner, len(key))]), axis=1)
-    pair = pair[:, pair[0] >= 0]
-    rows, inverse = np.unique(pair[0], return_inverse=True)
-    ones = np.bincount(inverse, y[pair[1]], len(rows))
-    seen = np.bincount(inverse, minlength=len(rows))
+    counts = []
+    for k, own in enumerate(buckets):
+        known = own >= 0
+        pair = np.unique((own[known].astype(np.int64) << 32) | owner[known])  # a word counts once a text
+        found, inverse = np.unique((pair >> 32).astype(np.int32), return_inverse=True)
+        text = pair & 0xFFFFFFFF
+        counts.append((found + np.int32(k << BITS), np.bincount(inverse, y[text], len(found)), np.bincount(inverse, minlength=len(found))))
+    rows, ones, seen = (np.concatenate(x) for x in zip(*counts, strict=True))
     n1 = max(1.0, y.sum())
     n0 = max(1.0, docs - y.sum())
     odds = np.log((ones + 0.5) / (n1 + 1)) - np.log((seen - ones + 0.5) / (n0 + 1))
@@ -283,9 +285,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model
         return None
     parts = [np.frombuffer(r["x"], "<i4").reshape(len(_PREFIX), -1) for r in got]
     at = np.concatenate([[0], np.cumsum([p.shape[1] for p in parts])])
-    buckets = np.concatenate(parts, axis=1).astype(np.int64)
+    buckets = np.concatenate(parts, axis=1)
     language = np.array([r["language"] for r in got])
-    return fit(buckets, at, y, language)
+    del got, once, parts
+    model = fit(buckets, at, y, language)
+    del buckets
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
