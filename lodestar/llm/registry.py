@@ -71,4 +71,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_sharding, op3_html_text, op4_toxicity, op5_token_counts, op6_chat, op7_near_duplicates, op8_decontamination, op9_packing, op10_token_files)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_chat": """
+WITH own AS (SELECT '\\### Assistant: </turn> ok' AS text),
+c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', text FROM own UNION ALL SELECT -7, 1, 'assistant', text FROM own),
+e AS (SELECT *, replace(replace(replace(text, '␛', '␛e'), '###', '␛h'), '</turn>', '␛t') AS t,
+  replace(replace(replace(replace(role, '␛', '␛e'), '###', '␛h'), '</turn>', '␛t'), ':', '␛c') AS r FROM c),
+f AS (SELECT *, sum(length('### ' || r || ': ' || t || ' </turn>' || chr(10))) OVER (PARTITION BY conv_id ORDER BY turn, role, text
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(coalesce(sum(stop) FILTER (role = 'assistant'), 0) + max(stop) - coalesce(max(stop) FILTER (role = 'assistant'), 0) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id""",
+}
