@@ -6,9 +6,8 @@ colon as U+241B c; so the sign always stands before one of these letters, and th
 can't be met by content. ``unescape`` turns it back exactly.
 
 Every assistant turn is an example: all earlier turns are its context, and only its own text is trainable.
-Contexts of a conversation are prefixes of one transcript. They are kept as such, not copied: an example
-has its reply and the number of transcript characters before it, so the output is linear in the
-conversation, where copies would be quadratic in it. ``rendered`` writes the copies out for a target.
+An example is a row with its whole context and its reply, so the output is quadratic in a conversation's length;
+turns behind the last example are a row of their own without a context. ``digest`` reads these rows back.
 """
 
 from __future__ import annotations
@@ -82,9 +81,34 @@ def transcripts(turns: DataFrame) -> DataFrame:
     )
 
 
+def expanded(formatted: DataFrame) -> DataFrame:
+    """conv_id, position, target, last, context, reply, loss_start, loss_chars from the rows of transcripts.
+
+    One row for each assistant turn, with the text of all turns before it; last marks a conversation's last one.
+    The turns behind it, all turns if there is none, are one more row, not a target, with an empty context.
+    """
+    turn = F.struct("position", "start", "written", "target", "loss_start", "loss_chars")
+    per = formatted.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("rows"))
+    per = per.withColumn("end", F.coalesce(F.array_max(F.filter("rows", lambda r: r["target"])["position"]), F.lit(-1)))
+    per = per.withColumns({"own": F.filter("rows", lambda r: r["target"]), "rest": F.filter("rows", lambda r: r["position"] > F.col("end"))})
+    rest = F.struct(F.get("rest", F.lit(0))["position"].alias("position"), F.lit(0).cast("long").alias("start"), F.concat_ws("", F.col("rest.written")).alias("written"), F.lit(False).alias("target"), F.lit(0).cast("long").alias("loss_start"), F.lit(0).cast("long").alias("loss_chars"))
+    all_rows = F.when(F.size("rest") > 0, F.concat("own", F.array(rest))).otherwise(F.col("own"))
+    each = per.select("conv_id", "end", F.concat_ws("", F.col("rows.written")).alias("whole"), F.explode(all_rows).alias("r"))
+    return each.select(
+        "conv_id",
+        "r.position",
+        "r.target",
+        (F.col("r.position") == F.col("end")).alias("last"),
+        F.substring("whole", F.lit(1), F.col("r.start").cast("int")).alias("context"),
+        F.col("r.written").alias("reply"),
+        "r.loss_start",
+        "r.loss_chars",
+    )
+
+
 def examples(turns: DataFrame) -> DataFrame:
-    """conv_id, position, context_chars, reply, loss_start, loss_chars: one row for each assistant turn."""
-    return transcripts(turns).where("target").select("conv_id", "position", F.col("start").alias("context_chars"), F.col("written").alias("reply"), "loss_start", "loss_chars")
+    """conv_id, position, context, context_chars, reply, loss_start, loss_chars: one row for each assistant turn."""
+    return expanded(transcripts(turns)).where("target").select("conv_id", "position", "context", F.length("context").cast("long").alias("context_chars"), "reply", "loss_start", "loss_chars")
 
 
 def rendered(turns: DataFrame, conv_id, position: int) -> str:
@@ -94,29 +118,29 @@ def rendered(turns: DataFrame, conv_id, position: int) -> str:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Per conversation, read back from transcripts: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    """Per conversation, read back from its examples: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     formatted_chars counts every example's context and reply, and the turns behind the last example (all turns
-    if there is none), which no example has. A SHA-256 can't be split, so a conversation's text meets in one
-    task here, as in no other step; what meets are texts, once each.
+    if there is none). The turns are read from the last example and what is behind it. A SHA-256 can't be
+    split, so a conversation's text meets in one task.
     """
-    text = F.when(F.col("target"), unescape(F.substring("written", F.col("loss_start").cast("int") + 1, F.col("loss_chars").cast("int")))).otherwise("")
-    turn = F.concat(read_role(F.col("written")), F.lit("\n"), read_text(F.col("written")), F.lit("\n"))
-    size = F.length("written")
-    rows = formatted.select("conv_id", F.struct("position", turn.alias("turn"), text.alias("text")).alias("row"), "target", (F.col("start") + size).alias("end"))
-    per = rows.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list("row")).alias("rows"),
-        F.count("*").alias("n_turns"),
-        F.sum(F.when(F.col("target"), F.col("end")).otherwise(0)).alias("in_examples"),
-        F.max("end").alias("chars"),
-        F.max(F.when(F.col("target"), F.col("end")).otherwise(0)).alias("last"),
+    whole = F.concat("context", "reply")
+    loss = unescape(F.substring("reply", F.col("loss_start").cast("int") + 1, F.col("loss_chars").cast("int")))
+    rows = expanded(formatted).select(
+        "conv_id",
+        F.length(whole).alias("chars"),
+        F.when(F.col("last") | ~F.col("target"), F.struct("position", whole.alias("text"))).alias("piece"),
+        F.when(F.col("target"), F.struct("position", loss.alias("text"))).alias("loss"),
     )
-    loss = F.concat_ws("", F.col("rows.text"))
+    per = rows.groupBy("conv_id").agg(F.sum("chars").alias("chars"), F.sort_array(F.collect_list("piece")).alias("pieces"), F.sort_array(F.collect_list("loss")).alias("losses"))
+    parts = F.split(F.concat_ws("", F.col("pieces.text")), CLOSE)  # content has no close; the last part is empty
+    turns = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.concat(x, F.lit(CLOSE)))
+    per = per.select("conv_id", "chars", turns.alias("turns"), F.concat_ws("", F.col("losses.text")).alias("loss"))
     return per.select(
         "conv_id",
-        F.col("n_turns").cast("long").alias("n_turns"),
-        F.sha2(F.concat_ws("", F.col("rows.turn")), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
-        (F.col("in_examples") + F.col("chars") - F.col("last")).cast("long").alias("formatted_chars"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.concat_ws("", F.transform("turns", lambda x: F.concat(read_role(x), F.lit("\n"), read_text(x), F.lit("\n")))), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("chars").cast("long").alias("formatted_chars"),
     )
