@@ -1,0 +1,31 @@
+"""The queries over whole tables against DuckDB: the SQL of the smaller ones without what limits them."""
+
+import os
+
+import duckdb
+import pytest
+
+from lodestar.plans import evaluation_queries, registry, store_queries  # noqa: F401
+
+from .test_oracle import DATA, plain
+
+LIMITS = {
+    "a2_recall": (" AND event_id % 3 = 0", ""),
+    "a3_a4_mean_and_pooled_recall": (" AND event_id % 3 = 0", ""),
+    "j2_truth_to_responses": (" AND event_id % 3 = 0", ""),
+    "a15_one_value_or_mixed": (" WHERE event_id % 13 = 0", ""),
+}
+
+
+@pytest.mark.parametrize("name", LIMITS)
+def test_whole(spark, name):
+    c = duckdb.connect()
+    for f in os.listdir(DATA):
+        c.execute(f"create view {f.removesuffix('.parquet')} as select * from '{DATA / f}'")
+    old, new = LIMITS[name]
+    sql = registry.ORACLE[name]
+    assert old in sql
+    want = c.sql(sql.replace(old, new))
+    got = registry.QUERIES[f"{name}_whole"](spark, str(DATA))
+    order = sorted(want.columns)
+    assert plain(got.select(order).collect()) == plain(want.project(",".join(f'"{x}"' for x in order)).fetchall())
