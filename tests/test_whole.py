@@ -14,6 +14,7 @@ LIMITS = {
     "a3_a4_mean_and_pooled_recall": (" AND event_id % 3 = 0", ""),
     "j2_truth_to_responses": (" AND event_id % 3 = 0", ""),
     "a15_one_value_or_mixed": (" WHERE event_id % 13 = 0", ""),
+    "s20_id_lists": (" WHERE user_id < 20", ""),
 }
 
 
