@@ -15,6 +15,9 @@ LIMITS = {
     "j2_truth_to_responses": (" AND event_id % 3 = 0", ""),
     "a15_one_value_or_mixed": (" WHERE event_id % 13 = 0", ""),
     "s20_id_lists": (" WHERE user_id < 20", ""),
+    "k7_batch_topk": ("vec_id < 32", "vec_id % 50 = 0"),
+    "k9_few_eligible": ("vec_id < 4", "vec_id % 50 = 0"),
+    "k15_oracle_topk": ("vec_id % 97 = 0", "vec_id % 50 = 0"),
 }
 
 
