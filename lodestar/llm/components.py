@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import written
+from lodestar.llm.common import drop, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
     """id, root (the least id reachable) of every id in links (a, b) but the roots themselves.
 
     Alternating large-star and small-star steps until the edges, compared by count and hash sum, stand still;
-    rounds grow with the logarithm of the links. Each round's edges are written to the shared folder.
+    rounds grow with the logarithm of the links. Each round's edges are written to the shared folder, and those of the round before go.
     """
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     was = mark(edges)
     while was[0]:
-        edges = written(_star(_star(edges, True), False), "links")
+        last, edges = edges, written(_star(_star(edges, True), False), "links")
+        drop(last)
         now = mark(edges)
         if now == was:
             break
