@@ -42,8 +42,38 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
-    """mapInArrow where work yields dicts of column name to array for each batch; schema as DDL, in the dicts' order."""
+BATCH_ROWS = 2000
+"""Rows of an Arrow batch at most. The session's spark.sql.execution.arrow.maxRecordsPerBatch is lowered to it."""
+
+CACHES: list[Callable[[], None]] = []
+"""Each empties what a worker keeps from task to task for one kind of operator."""
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: bool = False) -> DataFrame:
+    """mapInArrow with bounded memory of workers, which live on for later tasks of other operators.
+
+    Batches have BATCH_ROWS rows at most. A task begins by emptying CACHES, unless it keeps them to use them, and
+    ends by returning free memory to the system.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        if not keeps:
+            for clear in CACHES:
+                clear()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(task, schema)
+
+
+def arrow_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterator[dict]], keeps: bool = False) -> DataFrame:
+    """in_batches where work yields dicts of column name to array for each batch; schema as DDL, in the dicts' order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,7 +81,7 @@ def arrow_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Itera
                 for out in work(batch):
                     yield pa.RecordBatch.from_pydict(out)
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema, keeps)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -84,10 +114,14 @@ def salt_offsets(counts: DataFrame, group: str, salt: str) -> DataFrame:
     return counts.select(group, salt, F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
 
 
+def trim() -> None:
+    """Returns the free memory of this process to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        release(0)
+
+
 def give_back() -> None:
     """Returns freed memory of the driver's Python to the system after a model was learnt; else it would add up over stages."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    trim()

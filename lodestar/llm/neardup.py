@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import wordscan
-from lodestar.llm.common import arrow_map, drop, written
+from lodestar.llm.common import arrow_map, drop, in_batches, written
 from lodestar.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -261,7 +261,7 @@ def _tiled(rows: DataFrame, schema: str, work) -> DataFrame:
         out = [row for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for row in work(own, s, e)]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))], names)
 
-    return dealt.mapInArrow(run, schema)
+    return in_batches(dealt, run, schema)
 
 
 QUERY, TARGET = 1, 2

@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, vocabulary: str, key: str, text: str, capacity: int,
             yield {"key": batch.column(0).slice(block.first, len(n)).take(pa.array(doc)), "piece": pa.array(piece, pa.int32()), "start": start, "length": length, "ids_crc32": np.array(crc, np.int64)}
 
     kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(docs.select(key, text), f"key {kind}, piece int, start long, length long, ids_crc32 long", cut)
+    return arrow_map(docs.select(key, text), f"key {kind}, piece int, start long, length long, ids_crc32 long", cut, keeps=True)
 
 
 def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

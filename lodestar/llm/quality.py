@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import wordscan
-from lodestar.llm.common import arrow_map, give_back
+from lodestar.llm.common import arrow_map, give_back, in_batches
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 THRESHOLD = 0.25
@@ -254,4 +254,4 @@ def keep(docs: DataFrame, model: Model | None, text: str = "text", threshold: fl
             if ok:
                 yield batch.filter(pa.array(np.concatenate(ok)))
 
-    return docs.mapInArrow(work, docs.schema)
+    return in_batches(docs, work, docs.schema)

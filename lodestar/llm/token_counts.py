@@ -63,5 +63,5 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         yield {"key": batch.column(0), "n_bytes": n_bytes, "n_tokens": n_tokens, "over_limit": n_tokens > limit}
 
     kind = docs.schema[key].dataType.simpleString()
-    out = arrow_map(docs.select(key, text), f"key {kind}, n_bytes long, n_tokens long, over_limit boolean", work)
+    out = arrow_map(docs.select(key, text), f"key {kind}, n_bytes long, n_tokens long, over_limit boolean", work, keeps=True)
     return out.withColumnRenamed("key", key)

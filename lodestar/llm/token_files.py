@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import tokens, wordscan
-from lodestar.llm.common import arrow_map, shared_dir, written
+from lodestar.llm.common import arrow_map, drop, in_batches, shared_dir, written
 
 BLOCK_IDS = 1 << 18
 """A block is closed when it has so many ids; a longer document makes a longer block."""
@@ -96,7 +96,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id"
             raw = [own[at[i] : at[i + 1]] for i in range(n)]
             yield {"key": batch.column(0).slice(block.first, n), "n": np.diff(at), "crc": np.array([zlib.crc32(x.astype("<u4").tobytes()) for x in raw], np.int64), "ids": pa.array([x.tobytes() for x in raw], pa.binary())}
 
-    encoded = written(arrow_map(docs.select(F.col(key).cast("long"), text), "key long, n long, crc long, ids binary", ids), "ids")
+    encoded = written(arrow_map(docs.select(F.col(key).cast("long"), text), "key long, n long, crc long, ids binary", ids, keeps=True), "ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
@@ -106,7 +106,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id"
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
 
-    ranked = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    ranked = in_batches(encoded.select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     order = [r[0] for r in sorted(ranked.collect(), key=lambda r: (-r[1], r[0]))]  # at most a vocabulary
     spark = docs.sparkSession
     spark.createDataFrame([(bytearray(np.array(order, "<u4").tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
@@ -134,7 +134,8 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id"
             yield made()
 
     dealt = encoded.repartitionByRange("key", "crc").sortWithinPartitions("key", "crc").select("key", "n", "crc", "ids", F.spark_partition_id())
-    dealt.mapInArrow(pack, "shard int, block int, base long, n_ids long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    in_batches(dealt, pack, "shard int, block int, base long, n_ids long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    drop(encoded)
 
 
 def read_files(spark, path: str) -> DataFrame:

@@ -16,11 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 
+from lodestar.llm.common import CACHES
 from lodestar.llm.wordscan import Block, Words, hashes, mix, spans
 
-MAX_WORDS = 1 << 21
+MAX_WORDS = 1 << 20
 """Words that a worker's table holds at most; then it starts anew, so memory is bounded."""
-MAX_POOL = 1 << 24
+MAX_POOL = 1 << 23
 _LONG = 48
 _NONE = np.int32(1 << 30)
 
@@ -30,7 +31,10 @@ def library(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    out = Tokenizer.from_file(path)
+    if out.get_vocab_size() > 1 << 16:
+        raise ValueError("ids are kept in 16 bits: a vocabulary has 65,536 tokens at most")
+    return out
 
 
 def _byte_chars() -> list[str]:
@@ -164,7 +168,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.bits, self.count, self.used = 16, 0, 0
-        self.keys, self.at, self.size = (np.zeros(1 << self.bits, t) for t in (np.uint64, np.int64, np.int64))
+        self.keys, self.at, self.size = (np.zeros(1 << self.bits, t) for t in (np.uint64, np.int32, np.int32))
         self.pool = np.zeros(1 << 16, np.uint16)
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -175,7 +179,7 @@ class Encoder:
         while (self.count + len(h)) * 2 > 1 << self.bits:
             old, (at, size) = self.keys, (self.at, self.size)
             self.bits += 1
-            self.keys, self.at, self.size = (np.zeros(1 << self.bits, t) for t in (np.uint64, np.int64, np.int64))
+            self.keys, self.at, self.size = (np.zeros(1 << self.bits, t) for t in (np.uint64, np.int32, np.int32))
             full = np.flatnonzero(old)
             slots = place(self.keys, self.bits, old[full])
             self.at[slots], self.size[slots] = at[full], size[full]
@@ -304,12 +308,15 @@ def place(keys: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
     return slot.astype(np.int64)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def encoder(path: str) -> Encoder:
     """This worker's encoder; it keeps its table from task to task."""
     return Encoder(path)
 
 
+CACHES.append(encoder.cache_clear)
+
+
 def default_path() -> str:
     """The vocabulary file that the queries use."""
     import public_tokenizers

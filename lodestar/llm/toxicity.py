@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import wordscan
-from lodestar.llm.common import arrow_map, give_back
+from lodestar.llm.common import arrow_map, give_back, in_batches
 from lodestar.llm.quality import labelled_sample, sigmoid
 
 SAMPLE = 1200
@@ -323,4 +323,4 @@ def keep(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
             if ok:
                 yield batch.filter(pa.array(np.concatenate(ok)))
 
-    return docs.mapInArrow(work, docs.schema)
+    return in_batches(docs, work, docs.schema)
