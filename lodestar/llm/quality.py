@@ -23,7 +23,7 @@ from lodestar.llm.common import arrow_map, give_back, in_batches
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 THRESHOLD = 0.25
-SAMPLE = 1000
+SAMPLE = 1200
 BITS = 11
 """Word unigrams and bigrams share 2^BITS buckets, character trigrams have as many."""
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -44,7 +44,7 @@ def stats(block: wordscan.Block, w: wordscan.Words) -> dict[str, np.ndarray]:
     out = {"n_words": n_words, "word_chars": wordscan.sums(within[w.ends] - within[w.starts], w.at), "n_symbols": symbols[block.bounds[1:]] - symbols[block.bounds[:-1]]}
     # lines with a word, by the hash of the line and the text
     cut = np.flatnonzero(data == 10)
-    begin = np.union1d(block.bounds[:-1][n_words > 0], cut + 1)
+    begin = np.union1d(block.bounds[:-1], cut + 1)
     begin = begin[begin < n]
     end = np.minimum(np.append(begin[1:], n), n)
     stop = np.searchsorted(cut, begin)
@@ -76,17 +76,31 @@ def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
     return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT * s["n_words"])
 
 
+_KEEP = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+
+
+def characters(block: wordscan.Block) -> tuple[np.ndarray, np.ndarray]:
+    """Each character as the number that its bytes are, and where each text's characters begin."""
+    n = int(block.bounds[-1])
+    data = block.data[:n]
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    four = np.ndarray((n,), "<u4", buffer=block.data, strides=(1,)) if n else np.zeros(0, np.uint32)
+    lead = data[starts]
+    more = (lead >= 0xC0).astype(np.int8) + (lead >= 0xE0) + (lead >= 0xF0)
+    return four[starts] & _KEEP[more], np.searchsorted(starts, block.bounds)
+
+
 def buckets(block: wordscan.Block, w: wordscan.Words) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For words, word pairs and character trigrams: bucket numbers, and where each text's begin and end."""
     mask = np.uint64((1 << BITS) - 1)
     one = (w.hash & mask).astype(np.int64)
     pairs = (wordscan.windows(w.hash, 2) & mask).astype(np.int64)
-    n = int(block.bounds[-1])
-    d = block.data[: n + 2].astype(np.uint32)
-    three = ((d[:-2] * np.uint32(0x9E3779B1) + d[1:-1] * np.uint32(0x85EBCA77) + d[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)).astype(np.int64)
-    inner = np.maximum(block.bounds[1:] - 2, block.bounds[:-1])
+    c, at = characters(block)
+    c = np.append(c, np.zeros(2, np.uint32))
+    three = ((c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA77) + c[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)).astype(np.int64)
+    inner = np.maximum(at[1:] - 2, at[:-1])
     last = np.maximum(w.at[1:] - 1, w.at[:-1])
-    return [(one, w.at[:-1], w.at[1:]), (pairs, w.at[:-1], last), (three + (1 << BITS), block.bounds[:-1], inner)]
+    return [(one, w.at[:-1], w.at[1:]), (pairs, w.at[:-1], last), (three + (1 << BITS), at[:-1], inner)]
 
 
 def features(block: wordscan.Block, w: wordscan.Words) -> np.ndarray:

@@ -28,7 +28,7 @@ from lodestar.llm import wordscan
 from lodestar.llm.common import arrow_map, give_back, in_batches
 from lodestar.llm.quality import labelled_sample, sigmoid
 
-SAMPLE = 1200
+SAMPLE = 1500
 BITS, DIM, FILTERS, WIDTHS = 22, 8, 6, (1, 2, 3)
 MIN_DOCS = 2
 HELD_OUT, FOLDS = 0, 5
@@ -253,7 +253,7 @@ def fit(buckets: np.ndarray, at: np.ndarray, y: np.ndarray, language: np.ndarray
         return np.concatenate(parts, axis=1), np.concatenate([[0], np.cumsum(np.diff(at)[rows])])
 
     order = np.random.default_rng(3).permutation(len(y))
-    order = order[np.argsort(y[order], kind="stable")]  # each label gives its share
+    order = order[np.lexsort((language[order], y[order]))]  # each language of each label gives its share
     fifth = np.arange(len(y)) % 5 == 0
     own, rest = order[~fifth], order[fifth]
     if y[own].min() == y[own].max():
