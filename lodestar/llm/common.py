@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: spark.checkpoint.dir. Only where that is unset, as in tests, a new local one."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -88,23 +90,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, group: Column, key: list[Column], parts: int, groups: int) -> Column:
-    """A number from 0 to some bound by key, so that (group, number) holds a small even share of a group's rows."""
-    return F.pmod(F.xxhash64(*key), F.lit(max(1, -(-4 * parts // max(1, groups))))).cast("int")
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with lines behind it: a column that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
-def gapless(df: DataFrame, group: str, salt: str, order: list[str], out: str, offsets: DataFrame) -> DataFrame:
+def gapless(df: DataFrame, group: str, salt: str, order: list, out: str, offsets: DataFrame) -> DataFrame:
     """Numbers each group's rows from 0: by order within (group, salt), and salts one after another.
 
     offsets (group, salt, base) has how many rows of the group come in earlier salts. A hot group is so dealt
     over many tasks. Needs no row to meet all others of its group.
     """
     near = Window.partitionBy(group, salt).orderBy(*order)
+    base = unused(df, "base")
     return (
         df.withColumn(out, F.row_number().over(near).cast("long") - 1)
-        .join(F.broadcast(offsets), [group, salt], "left")
-        .withColumn(out, F.col(out) + F.col("base"))
-        .drop("base")
+        .join(F.broadcast(offsets.withColumnRenamed("base", base)), [group, salt], "left")
+        .withColumn(out, F.col(out) + F.col(base))
+        .drop(base)
     )
 
 

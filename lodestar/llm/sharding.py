@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import gapless, partitions, salt_offsets
+from lodestar.llm.common import gapless, partitions, salt_offsets, unused
 
 N_SHARDS = 40
 
@@ -36,14 +36,18 @@ def assign(df: DataFrame, key: str = "doc_id", shards: int = N_SHARDS, weights:
     """Every row with its shard, and its slot there, gapless from 0; all columns stay, clashing ones are replaced.
 
     Rows with equal keys (repeated rows, nulls) share a shard and have slots of their own. An empty table gives
-    an empty one. Texts cross the network once, dealt by shard and a salt of the key, so that a shard of any
-    size is spread over tasks; the counts behind the offsets are shards x salts.
+    an empty one. Rows cross the network once, dealt by shard and a salt of the row, so that a shard, or a key, of any
+    size is spread over tasks; the counts behind the offsets are shards x salts. Rows that are equal but for maps may
+    swap slots.
     """
     parts = partitions(df.sparkSession)
-    salt = F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(max(1, -(-4 * parts // shards)))).cast("int")
-    placed = df.drop("shard", "slot").withColumns({"shard": rendezvous(F.col(key), shards, weights), "_salt": salt})
-    counts = placed.groupBy("shard", "_salt").agg(F.count("*").alias("n"))
-    return gapless(placed, "shard", "_salt", [key], "slot", salt_offsets(counts, "shard", "_salt")).drop("_salt")
+    name = unused(df, "salt")
+    # of rows of one key too: others of its columns, as far as they can be hashed
+    rest = F.xxhash64(*[c for c, kind in df.dtypes if c not in (key, "shard", "slot") and "map<" not in kind and "variant" not in kind], F.lit(0))
+    salt = F.pmod(F.xxhash64(F.lit("slot"), F.col(key), rest), F.lit(max(1, -(-4 * parts // shards)))).cast("int")
+    placed = df.withColumns({"shard": rendezvous(F.col(key), shards, weights), name: salt}).drop("slot")
+    counts = placed.groupBy("shard", name).agg(F.count("*").alias("n"))
+    return gapless(placed, "shard", name, [key, rest], "slot", salt_offsets(counts, "shard", name)).drop(name)
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:
