@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,11 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _DIGITS = re.compile(r"\d+")
 
 
+def _short(path: str) -> str:
+    """A path of up to LONGEST_PATH characters; of a longer one a hash of the whole and its end, so that paths stay apart."""
+    return path if len(path) <= LONGEST_PATH else f"{xxhash.xxh64_hexdigest(path)}~{path[17 - LONGEST_PATH :]}"
+
+
 class Page:
     """A page's elements and blocks. tags, paths, parents, bad: by element; blocks: (element, text, characters in links)."""
 
@@ -148,7 +154,7 @@ class Page:
         if name == "header":
             bad = max(bad, 1)
         self.tags.append(name)
-        self.paths.append(f"{self.paths[parent]}/{label}"[-LONGEST_PATH:])
+        self.paths.append(_short(f"{self.paths[parent]}/{label}"))
         self.parents.append(parent)
         self.bad.append(bad)
         return len(self.tags) - 1

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import tokens, wordscan
 from lodestar.llm.common import arrow_map
 
-SAMPLE_ROWS, SAMPLE_BYTES, FREQUENT = 500, 1 << 20, 1 << 16
+SAMPLE_ROWS, SAMPLE_BYTES, FREQUENT = 500, 1 << 16, 1 << 16
 """The first tier holds the FREQUENT most frequent pre-tokens of SAMPLE_ROWS texts under SAMPLE_BYTES. It only saves time:
 a pre-token that it lacks is counted by the second tier, so no result depends on the sample."""
 
