@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def recall(truth: Column, actual: Column) -> Column:
@@ -66,3 +71,29 @@ def tie_compatible(distances: Column, boundary: Column, expected: Column, tolera
 
 def regret(chosen: Column, *arms: Column) -> Column:
     return chosen / F.least(*arms) - 1
+
+
+RANGES = 64
+
+
+def global_rank(df: DataFrame, x: str, key: str, out: str, falling: bool = False) -> DataFrame:
+    """Ranks from 0 over all rows by x, then key: ranges of x between fixed cuts are ranked apart, after counting those before.
+
+    The cuts are approximate quantiles of numbers, taken once, so a task that runs again finds the same. Nulls come first, or
+    last if falling.
+    """
+    cuts = df.select(F.percentile_approx(x, [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
+    at, sign = df.columns.index(x), -1 if falling else 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = batch.column(at).to_numpy(zero_copy_only=False).astype(np.float64)
+            part = np.where(np.isnan(value), -1, np.searchsorted(np.array(cuts, np.float64), value)) * sign
+            yield batch.append_column("_part", pa.array(part.astype(np.int32)))
+
+    dealt = df.mapInArrow(work, StructType([*df.schema.fields, StructField("_part", IntegerType())]))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    near = Window.partitionBy("_part").orderBy(F.desc(x) if falling else F.asc(x), key)
+    ranked = dealt.withColumn("_n", F.row_number().over(near))
+    return ranked.join(F.broadcast(sizes), "_part").withColumn(out, (F.col("_base") + F.col("_n") - 1).cast("long")).drop("_part", "_base", "_n")

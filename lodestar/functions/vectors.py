@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPSILON32 = 2.0**-24
@@ -76,6 +76,33 @@ def codes(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(scale == 0, F.lit(0)).otherwise(F.round((x / scale).cast("float"))).cast("tinyint"))
 
 
+def quantised(v):
+    """Scales, 8-bit codes and sums of magnitudes of the rows of a float matrix: the codes that codes() has, by NumPy."""
+    import numpy as np
+
+    scale = (np.abs(v).max(1) / np.float32(127)).astype(np.float32)
+    ratio = (v / np.where(scale == 0, np.float32(1), scale)[:, None]).astype(np.float32).astype(np.float64)
+    return scale.astype(np.float64), (np.sign(ratio) * np.floor(np.abs(ratio) + 0.5)).astype(np.int8), np.abs(v.astype(np.float64)).sum(1)
+
+
+def with_codes(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, scale, codes, l1 of every row of (key, vector), made in Arrow batches: each scale is sought once."""
+    import numpy as np
+    import pyarrow as pa
+
+    def work(batches):
+        for batch in batches:
+            if batch.num_rows:
+                column = batch.column(1)
+                n = len(column.flatten()) // batch.num_rows
+                scale, code, total = quantised(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, code.size + 1, n, dtype=np.int32)), pa.array(code.ravel()))
+                yield pa.RecordBatch.from_pydict({key: batch.column(0), "scale": scale.astype(np.float32), "codes": lists, "l1": total})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, vector).mapInArrow(work, f"{key} {kind}, scale float, codes array<tinyint>, l1 double")
+
+
 def code_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("int") * y.cast("int")), F.lit(0), lambda s, x: s + x)
 

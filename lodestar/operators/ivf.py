@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestar.functions import vectors as V
+from lodestar.operators import search as exact
 from lodestar.operators.predicate import ALL, Filter, eligible
-from lodestar.operators.search import ranked
 
 SAMPLE, ROUNDS, MAX_LISTS, RERANK = 2048, 4, 64, 32
 
@@ -22,10 +25,10 @@ def check(nprobe: int, lists: int) -> None:
 
 @dataclass
 class Index:
-    """centroids: at most 64, on the driver. postings: id, list of every row, deleted ones too."""
+    """centroids: at most 64, on the driver. path: where the rows are stored by list, if they are."""
 
     centroids: np.ndarray
-    postings: DataFrame
+    path: str | None = None
 
 
 def centroids(records: DataFrame, lists: int) -> np.ndarray:
@@ -53,43 +56,99 @@ def centroids(records: DataFrame, lists: int) -> np.ndarray:
     return c
 
 
-def _products(v, c: np.ndarray):
-    return F.array(*[V.dot(v, V.literal(row.tolist())) for row in c])
+def assign(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The list with the greatest product; ties go to the lowest."""
+    return (v.astype(np.float64) @ c.astype(np.float64).T).argmax(1).astype(np.int32)
 
 
-def nearest_list(v, c: np.ndarray):
-    """The list with the greatest product; ties go to the lowest."""
-    p = _products(v, c)
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+def with_lists(rows: DataFrame, c: np.ndarray, vector: str = "vector") -> DataFrame:
+    """All columns and list, assigned in Arrow batches by one product each."""
+    at, table = rows.columns.index(vector), rows.sparkSession.sparkContext.broadcast(c)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.append_column("list", pa.array(assign(exact.matrix_of(batch.column(at), table.value.shape[1]), table.value)))
+
+    return rows.mapInArrow(work, StructType([*rows.schema.fields, StructField("list", IntegerType())]))
 
 
-def build(records: DataFrame, lists: int) -> Index:
+def build(records: DataFrame, lists: int, path: str | None = None) -> Index:
+    """With a path the rows are stored there in a folder for each list, so that a search reads the probed lists only."""
     check(1, lists)
-    c = centroids(records, lists)
-    return Index(c, records.select("id", nearest_list(F.col("vector"), c).alias("list")))
+    index = Index(centroids(records, lists), path)
+    if path and len(index.centroids):
+        with_lists(records, index.centroids).write.partitionBy("list").parquet(path)
+    return index
+
+
+def probed(c: np.ndarray, queries: np.ndarray, nprobe: int, union: bool) -> np.ndarray:
+    """Of each query and list whether it's probed: the nprobe lists with the greatest products."""
+    product = queries.astype(np.float64) @ c.astype(np.float64).T
+    out = np.zeros(product.shape, bool)
+    np.put_along_axis(out, np.argsort(-product, axis=1, kind="stable")[:, :nprobe], True, axis=1)
+    return np.broadcast_to(out.any(0), out.shape) if union else out
 
 
 def search(index: Index, records: DataFrame, queries: DataFrame, k: int, nprobe: int, where: Filter = ALL, codes: bool = False, union: bool = False) -> DataFrame:
     """query_id, rank, id, distance; fewer than k if the probed lists hold fewer eligible rows.
 
-    queries (query_id, query), unit vectors. codes: RERANK x k rows by 8-bit product first. union: a batch's
-    queries share their candidates, as when one pass serves them all.
+    queries (query_id, query), unit vectors, a stated batch. codes: RERANK x k rows by 8-bit product first. union: a
+    batch's queries share their candidates, as when one pass serves them all. Rows come from the index's folder, of
+    which only probed lists are read, or from records, whose lists are found in passing.
     """
     V.check_k(k)
+    given = queries.select("query_id", "query").collect()
+    if not given or not len(index.centroids):
+        return records.sparkSession.createDataFrame([], "query_id long, rank int, id long, distance float")
     check(nprobe, len(index.centroids))
-    p = _products(F.col("query"), index.centroids)
-    order = F.slice(F.sort_array(F.transform(p, lambda x, i: F.struct((-x).alias("p"), i.alias("list")))), 1, nprobe)
-    probes = queries.select("query_id", "query", F.explode(order).alias("o")).select("query_id", "query", F.col("o.list").alias("list"))
-    rows = eligible(records, where).join(index.postings, "id").select("id", "vector", "list")
-    if union:
-        lists = probes.select("list").distinct()
-        probes = queries.join(F.broadcast(lists))
-    near = rows.join(F.broadcast(probes), "list")
+    names, matrix = np.array([r[0] for r in given], np.int64), np.array([r[1] for r in given], np.float32)
+    probe = probed(index.centroids, matrix, nprobe, union)
+    if index.path:
+        stored = records.sparkSession.read.parquet(index.path).where(F.col("list").isin(np.flatnonzero(probe.any(0)).tolist()))
+        rows = eligible(stored, where).select("id", "vector", "list")
+    else:
+        rows = eligible(records, where).select("id", "vector")
+    table = rows.sparkSession.sparkContext.broadcast((names, matrix, probe, index.centroids))
+    first = RERANK * k
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix, probe, c = table.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, v = batch.column(0).to_numpy(), exact.matrix_of(batch.column(1), matrix.shape[1])
+            lists = batch.column(2).to_numpy() if batch.num_columns > 2 else assign(v, c)
+            for i in range(0, len(names), 256):
+                own, allowed = matrix[i : i + 256], probe[i : i + 256][:, lists]
+                if codes:
+                    (sq, cq, _), (sv, cv, _) = V.quantised(own), V.quantised(v)
+                    approx = (cq.astype(np.float64) @ cv.astype(np.float64).T) * sq[:, None] * sv[None, :]
+                    q, r = np.nonzero(allowed)
+                    best = exact.first_k(q, -approx[q, r], ids[r], first)
+                    q, r = q[best], r[best]
+                    rough = -approx[q, r]
+                    distance = exact.exact_distances(own[q], v[r])
+                else:
+                    q, r = exact.hopeful(*exact.bounded(own, v, exact.BLOCK), k, allowed)
+                    distance = exact.exact_distances(own[q], v[r])
+                    best = exact.first_k(q, distance, ids[r], k)
+                    q, r, distance = q[best], r[best], distance[best]
+                    rough = distance.astype(np.float64)
+                yield pa.RecordBatch.from_pydict({"query_id": names[i : i + 256][q], "id": ids[r], "distance": distance, "rough": rough})
+
+    near = rows.mapInArrow(work, "query_id long, id long, distance float, rough double")
     if codes:
-        approx = V.code_scale(F.col("query")) * V.code_scale(F.col("vector")) * V.code_dot(V.codes(F.col("query")), V.codes(F.col("vector")))
-        best = Window.partitionBy("query_id").orderBy(F.desc("_a"), "id")
-        near = near.withColumn("_a", approx).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= RERANK * k)
-    return ranked(near.select("query_id", "id", V.distance(F.col("query"), F.col("vector")).alias("distance")), k)
+        best = Window.partitionBy("query_id").orderBy("rough", "id")
+        near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= first)
+    return exact.ranked(near, k)
+
+
+def recalls(index: Index, records: DataFrame, queries: DataFrame, k: int, efforts: Sequence[int], where: Filter = ALL) -> dict[int, float]:
+    """Of each nprobe the share of the exact k nearest that it finds, over all queries."""
+    truth = exact.batch_top_k(records, queries, k, where).select("query_id", "id")
+    total = max(1, truth.count())
+    return {n: search(index, records, queries, k, n, where).join(truth, ["query_id", "id"]).count() / total for n in efforts}
 
 
 def tune(recalls: dict[int, float], target: float) -> int:
