@@ -37,11 +37,11 @@ def lcg(state: int) -> int:
 
 
 def shuffled(n: int, seed: int) -> list[int]:
-    """A Fisher-Yates permutation by the LCG's high bits; for query orders, which are small."""
+    """A Fisher-Yates permutation by the LCG's whole state modulo the places left; for query orders, which are small."""
     out = list(range(n))
     for i in range(n - 1, 0, -1):
         seed = lcg(seed)
-        j = (seed >> 33) % (i + 1)
+        j = seed % (i + 1)
         out[i], out[j] = out[j], out[i]
     return out
 

@@ -145,10 +145,17 @@ def search(index: Index, records: DataFrame, queries: DataFrame, k: int, nprobe:
 
 
 def recalls(index: Index, records: DataFrame, queries: DataFrame, k: int, efforts: Sequence[int], where: Filter = ALL) -> dict[int, float]:
-    """Of each nprobe the share of the exact k nearest that it finds, over all queries."""
+    """Of each nprobe the share of the exact k nearest that it finds, over all queries.
+
+    A true neighbour is found if its list is among those probed, so the places of their lists in the order of probing
+    tell the recall of every effort at once.
+    """
     truth = exact.batch_top_k(records, queries, k, where).select("query_id", "id")
-    total = max(1, truth.count())
-    return {n: search(index, records, queries, k, n, where).join(truth, ["query_id", "id"]).count() / total for n in efforts}
+    rows = with_lists(records.join(F.broadcast(truth), "id").select("query_id", "vector"), index.centroids)
+    found = rows.groupBy("query_id", "list").count().collect()  # lists x queries at most
+    at = {r[0]: np.argsort(np.argsort(-(index.centroids.astype(np.float64) @ np.array(r[1], np.float64)), kind="stable"), kind="stable") for r in queries.select("query_id", "query").collect()}
+    total = sum(r[2] for r in found)
+    return {n: sum(r[2] for r in found if at[r[0]][r[1]] < n) / total if total else 1.0 for n in efforts}
 
 
 def tune(recalls: dict[int, float], target: float) -> int:

@@ -239,10 +239,19 @@ def c4(spark, d):
     return ivf.with_lists(u.select("vec_id", "v"), c, "v").select("vec_id", "list")
 
 
-def _ivf(spark, d, **options):
+LISTS, TARGET = 8, 0.95
+
+
+def _unit_queries(spark, d, condition):
+    return units(spark, d).where(condition).select(F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
+
+
+def _ivf(spark, d, nprobe=None, **options):
+    """Without nprobe: the least that reaches TARGET for other queries than the stated ones."""
     r = records(spark, d)
-    q = units(spark, d).where(STATED).select(F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
-    return rounded(ivf.search(ivf.build(r, 8), r, q, 10, options.pop("nprobe", 4), **options))
+    index = ivf.build(r, LISTS)
+    nprobe = nprobe or ivf.tune(ivf.recalls(index, r, _unit_queries(spark, d, "vec_id % 50 = 25"), 10, range(1, LISTS + 1)), TARGET)
+    return rounded(ivf.search(index, r, _unit_queries(spark, d, STATED), 10, nprobe, **options))
 
 
 @query("c6_ivf_flat_all_lists", _batch("true", 10, STATED))
@@ -274,5 +283,4 @@ def c7b(spark, d):
 def c13(spark, d):
     """Recall of the stated queries by the number of probed lists; all lists must give 1."""
     r = records(spark, d)
-    q = units(spark, d).where(STATED).select(F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
-    return spark.createDataFrame(sorted(ivf.recalls(ivf.build(r, 8), r, q, 10, (1, 4, 8)).items()), "nprobe int, recall double")
+    return spark.createDataFrame(sorted(ivf.recalls(ivf.build(r, LISTS), r, _unit_queries(spark, d, STATED), 10, range(1, LISTS + 1)).items()), "nprobe int, recall double")

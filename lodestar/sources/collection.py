@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import vectors as V
+from lodestar.functions.evaluation import contiguous_runs
 from lodestar.operators import ivf, mutations, search
 from lodestar.operators.predicate import ALL, Filter, eligible, page
 from lodestar.operators.search import AUTO
@@ -38,18 +40,45 @@ class CommitReport:
 
 @dataclass
 class Report:
-    """What a search did; facts of devices that Spark doesn't have are given with a reason instead of a number."""
+    """What a search did. What isn't known is None, and unavailable says why.
+
+    Hits are a plan that nothing has run yet, so their number and the time aren't known; counts of eligible rows cost a
+    job and are taken with set_diagnostics(True) only.
+    """
 
     operation: str
+    algorithm: str
     strategy: str
     generation: int
+    index_generation: int | None
     rebuilt: bool
+    preparation_reason: str | None
     batch_size: int
+    k: int
     predicate: str
-    results: int
-    eligible_rows: int | None
-    upload_bytes: None = None
-    unavailable: str = "no accelerator"
+    routing_reason: str
+    fallback_reason: str | None = None
+    corpus_rows: int | None = None
+    eligible_rows: int | None = None
+    eligible_selectivity: float | None = None
+    eligible_contiguous_runs: int | None = None
+    results: int | None = None
+    candidates: int | None = None
+    total_duration: float | None = None
+    upload_bytes: int | None = None
+    readback_bytes: int | None = None
+    unavailable: str = "no accelerator; hits are not run yet"
+
+
+def route(eligible_rows: int | None, batch: int, profile: dict | None) -> tuple[str, str]:
+    """The target that automatic routing would choose, and why: the processor for batches under 8 below the profile's least eligible rows, or without a profile."""
+    if batch >= 8:
+        return "accelerator", "batch of 8 and more"
+    if not profile:
+        return "processor", "no profile"
+    if eligible_rows is None or eligible_rows < profile["minimum_eligible_rows"]:
+        return "processor", "below the profile's minimum"
+    return "accelerator", "profile"
 
 
 class _Files:
@@ -88,6 +117,10 @@ class _Files:
         return self.fs.getContentSummary(self._path(name)).getLength()
 
 
+def _crc(mark: dict) -> int:
+    return zlib.crc32(json.dumps({k: v for k, v in sorted(mark.items()) if k != "crc"}).encode())
+
+
 class Collection:
     def __init__(self, spark: SparkSession, path: str | None, dimension: int, budget: int = BUDGET):
         """Use new, create, open or import_portable."""
@@ -99,10 +132,13 @@ class Collection:
             from tempfile import mkdtemp
 
             place = spark.conf.get("spark.checkpoint.dir", None)
+            if not place and not spark.sparkContext.master.startswith("local"):
+                raise CollectionError("SharedFolderMissing")  # executors don't see a local folder of the driver
             path = f"{place.rstrip('/')}/collection-{uuid.uuid4().hex}" if place else Path(mkdtemp()).as_uri()
         self.path, self.files = path.rstrip("/"), _Files(spark, path)
         self.closed, self.uncertain, self.generation, self.explicit, self.detailed = False, False, 0, False, False
         self.index: tuple[int, ivf.Index] | None = None
+        self.opened, self.reason = False, None
         self.ivf: dict | None = None
         self._state: DataFrame | None = None
         self.profile: dict | None = None
@@ -134,7 +170,7 @@ class Collection:
             raise CollectionError("DimensionMismatch")
         out.dimension = marks[0]["dimension"]
         out._live_marks(marks)
-        out.generation = max(m["generation"] for m in marks)
+        out.generation, out.opened = max(m["generation"] for m in marks), True
         return out
 
     @classmethod
@@ -173,6 +209,7 @@ class Collection:
     # markers
     def _mark(self, mark: dict) -> None:
         mark |= {"dimension": self.dimension, "version": 1}
+        mark["crc"] = _crc(mark)
         try:
             self.files.put(f"commits/{mark['generation']:020d}-{mark['kind']}.json", json.dumps(mark))
         except Exception as e:
@@ -184,6 +221,8 @@ class Collection:
         out = [json.loads(self.files.get(f"commits/{n}")) for n in self.files.names("commits") if n.endswith(".json")]
         if any(m["version"] != 1 for m in out):
             raise CollectionError("UnsupportedVersion")
+        if any(m.pop("crc", None) != _crc(m) for m in out):
+            raise CollectionError("Corrupt")
         return sorted(out, key=lambda m: (m["generation"], m["kind"] == "snapshot"))
 
     def _live_marks(self, marks: list[dict]) -> tuple[dict | None, list[dict]]:
@@ -212,6 +251,26 @@ class Collection:
         return self._state
 
     # mutations
+    def add_buffer(self, vectors, ids, user_ids=None, timestamps=None) -> CommitReport:
+        """A matrix of floats, a row for each id, with owners and times (0 without), as one commit; columns go over as Arrow."""
+        import numpy as np
+        import pyarrow as pa
+
+        matrix, ids = np.asarray(vectors), np.asarray(ids)
+        if matrix.dtype != np.float32 or matrix.ndim != 2 or not matrix.flags.c_contiguous:
+            raise ValueError("vectors must be a contiguous matrix of 32-bit floats")
+        if matrix.shape[1] != self.dimension:
+            raise CollectionError("DimensionMismatch")
+        others = [np.zeros(len(ids), np.int64) if x is None else np.asarray(x) for x in (user_ids, timestamps)]
+        if any(len(x) != len(matrix) for x in (ids, *others)):
+            raise ValueError("columns differ in length")
+        n = len(matrix)
+        if not n:
+            return CommitReport(self.generation, self.generation, 0)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * self.dimension + 1, self.dimension, dtype=np.int32)), pa.array(matrix.ravel()))
+        columns = {"seq": np.arange(n), "op": pa.array([mutations.ADD] * n), "id": ids.astype(np.int64), "user_id": others[0].astype(np.int64), "timestamp": others[1].astype(np.int64), "vector": flat}
+        return self.commit_table(self.spark.createDataFrame(pa.table(columns)))
+
     def add(self, id: int, user_id: int, timestamp: int, vector: Sequence[float]) -> CommitReport:
         return self.commit([(mutations.ADD, id, user_id, timestamp, list(vector))])
 
@@ -239,26 +298,46 @@ class Collection:
         found = [x for x in (None if bad is None else tuple(bad), order) if x is not None]
         return min(found) if found else None
 
-    def commit_table(self, batch: DataFrame) -> CommitReport:
-        """The same for a table (seq, op, id, user_id, timestamp, vector) of any size; seq gives the order."""
+    def commit_table(self, batch: DataFrame, stream: int | None = None) -> CommitReport:
+        """The same for a table (seq, op, id, user_id, timestamp, vector) of any size; seq gives the order.
+
+        The batch is written once and read again for the checks. stream: the number of a stream's batch; the marker
+        that publishes the commit holds it, so a batch that comes again after any failure changes nothing.
+        """
         self._check()
+        if stream is not None and stream <= self._last()["stream"]:
+            return CommitReport(self.generation, self.generation, 0)
+        incoming = f"data/incoming-{uuid.uuid4().hex}"
+        batch.write.parquet(f"{self.path}/{incoming}")
+        try:
+            return self._commit(self.spark.read.schema(batch.schema).parquet(f"{self.path}/{incoming}"), stream)
+        finally:
+            self.files.drop(incoming)
+
+    def _last(self) -> dict:
+        """Rows, and the number of the last batch of a stream, from the markers."""
+        marks = self._marks()
+        return {"rows": marks[-1].get("rows"), "stream": max((m.get("stream", -1) for m in marks), default=-1)}
+
+    def _commit(self, batch: DataFrame, stream: int | None) -> CommitReport:
         if error := self.validate_batch(batch):
             raise CollectionError(error[1], error[0])
-        count = batch.count()
+        count, adding = batch.agg(F.count("*"), F.count_if(F.col("op") == mutations.ADD)).first()
         if not count:
             return CommitReport(self.generation, self.generation, 0)
         try:
             generation = mutations.next_generation(self.generation, count)
         except ValueError as e:
             raise CollectionError("GenerationExhausted") from e
-        base = self.records().count()
+        last = self._last()
+        base = self.records().count() if last["rows"] is None else last["rows"]
         added = batch.where(F.col("op") == mutations.ADD)
-        self._admit(base + added.count())
+        self._admit(base + adding)
         adds = mutations.with_slots(added.withColumn("vector", V.normalized(F.col("vector"))), base)
         log = adds.unionByName(batch.where(F.col("op") == mutations.DELETE).withColumn("slot", F.lit(None).cast("long")))
         name = f"data/log-{generation}-{uuid.uuid4().hex}"
         log.withColumn("generation", F.lit(generation)).select([c.split()[0] for c in LOG.split(", ")]).write.parquet(f"{self.path}/{name}")
-        self._mark({"kind": "log", "data": name, "from": self.generation, "generation": generation})
+        self._mark({"kind": "log", "data": name, "from": self.generation, "generation": generation, "rows": base + adding} | ({} if stream is None else {"stream": stream}))
         self.generation = generation
         return CommitReport(generation, generation, count)
 
@@ -280,9 +359,19 @@ class Collection:
         """The row, deleted or not, or None."""
         return None if self.closed else self.records().where(F.col("id") == id).first()
 
+    def record(self, slot: int):
+        """The row in a slot, deleted or not, or None."""
+        return None if self.closed else self.records().where(F.col("slot") == slot).first()
+
+    def slot_of(self, id: int) -> int | None:
+        row = self.get_record(id)
+        return None if row is None else row["slot"]
+
     def scan_records(self, offset: int = 0, limit: int = 50, where: Filter | None = None) -> tuple[DataFrame, int]:
         if self.closed:
             return self.spark.createDataFrame([], SCHEMA), 0
+        if offset < 0 or limit < 0:
+            raise ValueError("InvalidPage")
         rows, total = page(self.records(), offset, limit, where)
         return rows, total.first()[0]
 
@@ -299,7 +388,36 @@ class Collection:
         """Builds what the chosen search needs for this generation."""
         self._check()
         if self.ivf and (self.index is None or self.index[0] != self.generation):
-            self.index = (self.generation, ivf.build(self.records(), self.ivf["lists"]))
+            self.reason, found = self._why()
+            if found is None:
+                self._drop_index()
+                place = f"index/{uuid.uuid4().hex}"
+                found = ivf.build(self.records(), self.ivf["lists"], f"{self.path}/{place}")
+                mark = {"dimension": self.dimension, "generation": self.generation, "lists": self.ivf["lists"], "data": place, "centroids": found.centroids.tolist()}
+                self.files.put("index/marker.json", json.dumps(mark | {"crc": _crc(mark)}))
+            self.index = (self.generation, found)
+
+    def _drop_index(self) -> None:
+        self.files.drop("index")
+
+    def _why(self) -> tuple[str | None, ivf.Index | None]:
+        """Why the index must be made: Initial, Mutation, MissingIndex, CorruptIndex, StaleIndex; or the stored one, with Restart."""
+        if self.index is not None:
+            return "Mutation", None
+        if "marker.json" not in self.files.names("index"):
+            return ("MissingIndex" if self.opened else "Initial"), None
+        try:
+            mark = json.loads(self.files.get("index/marker.json"))
+            good = mark.pop("crc", None) == _crc(mark) and mark["dimension"] == self.dimension and mark["data"].split("/")[1] in self.files.names("index")
+        except (ValueError, KeyError):
+            good = False
+        if not good:
+            return "CorruptIndex", None
+        if (mark["generation"], mark["lists"]) != (self.generation, self.ivf["lists"]):
+            return "StaleIndex", None
+        import numpy as np
+
+        return "Restart", ivf.Index(np.array(mark["centroids"], np.float32), f"{self.path}/{mark['data']}")
 
     def _ready(self) -> bool:
         if not self.ivf or (self.index is not None and self.index[0] == self.generation):
@@ -310,6 +428,7 @@ class Collection:
         return True
 
     def search(self, query: Sequence[float], where: Filter = ALL, k: int = 10, strategy: str = AUTO) -> tuple[DataFrame, Report]:
+        """The hits, and a report of what was done."""
         hits, reports = self.search_batch([query], where, k, strategy)
         return hits.drop("query_id"), reports[0] if reports else None
 
@@ -319,15 +438,23 @@ class Collection:
             return self.spark.createDataFrame([], "query_id long, rank int, id long, distance float"), []
         self._check()
         V.check_k(k)
+        search.check_strategy(strategy)
         units = [(i, V.validate(q, self.dimension)) for i, q in enumerate(queries)]
         rebuilt, table = self._ready(), self.spark.createDataFrame(units, "query_id long, query array<float>")
         if self.ivf:
             hits = ivf.search(self.index[1], self.records(), table, k, self.ivf["nprobe"], where, self.ivf["codes"], union=len(queries) > 1)
         else:
-            hits = search.batch_top_k(self.records(), table, k, where)
-        count = self.filter_count(where) if self.detailed else None
-        name = uuid.uuid4().hex
-        return hits, [Report(name, "ivf" if self.ivf else strategy, self.generation, rebuilt, len(queries), where.kind(), k, count) for _ in queries]
+            hits = search.batch_top_k(self.records(), table, k, where, strategy)
+        facts: dict = {}
+        if self.detailed:
+            corpus, count = self.records().agg(F.count("*"), F.count_if(where.live())).first()
+            runs = contiguous_runs(eligible(self.records(), where)).first()[0]
+            facts = {"corpus_rows": corpus, "eligible_rows": count, "eligible_selectivity": count / corpus if corpus else 0.0, "eligible_contiguous_runs": runs}
+        target, why = route(facts.get("eligible_rows"), len(queries), self.profile)
+        fallback = None if target == "processor" else "no accelerator"
+        used = "ivf" if self.ivf else search.BLOCK if strategy == search.AUTO else strategy
+        report = Report(uuid.uuid4().hex, "approximate" if self.ivf else "exact", used, self.generation, self.index[0] if self.ivf else None, rebuilt, self.reason if rebuilt else None, len(queries), k, where.kind(), f"{target}: {why}", fallback, **facts)
+        return hits, [report for _ in queries]
 
     # options
     def set_rebuild_policy(self, explicit: bool) -> None:
@@ -349,6 +476,9 @@ class Collection:
         self.ivf["nprobe"] = nprobe
 
     def set_router_profile(self, profile: dict | None) -> None:
+        """profile: minimum_eligible_rows, from which on automatic routing prefers an accelerator. Here it only changes the report."""
+        if profile is not None and profile.get("minimum_eligible_rows", -1) < 0:
+            raise CollectionError("InvalidProfile")
         self.profile = profile
 
     def set_row_preparation(self, mode: str) -> None:
@@ -371,7 +501,8 @@ class Collection:
         name = f"data/snapshot-{self.generation}-{uuid.uuid4().hex}"
         self.records().repartitionByRange("user_id", "timestamp").sortWithinPartitions("user_id", "timestamp").write.parquet(f"{self.path}/{name}")
         rows, live = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}").agg(F.count("*"), F.count_if("live")).first()
-        self._mark({"kind": "snapshot", "data": name, "generation": self.generation, "rows": rows, "live": live})
+        stream = self._last()["stream"]
+        self._mark({"kind": "snapshot", "data": name, "generation": self.generation, "rows": rows, "live": live} | ({} if stream < 0 else {"stream": stream}))
         keep = snapshot["generation"] if snapshot else -1
         for m in marks:
             if m["kind"] == "log" and m["generation"] <= keep or m["kind"] == "snapshot" and m["generation"] < keep:
@@ -412,3 +543,50 @@ class Collection:
 
 def described(report: Report) -> str:
     return json.dumps(asdict(report))
+
+
+MAX_PAGE = 500
+
+
+class View:
+    """Reads with defaults for a program that serves people: pages of 50, 500 at most; k is moved into its range, not refused."""
+
+    def __init__(self, collection: Collection):
+        self.collection = collection
+
+    def records(self, offset: int = 0, limit: int = 50, user_id: int | None = None, lower: int | None = None, upper: int | None = None) -> tuple[DataFrame, int]:
+        given = (user_id, lower, upper)
+        return self.collection.scan_records(offset, min(limit, MAX_PAGE), None if given == (None, None, None) else Filter(*given))
+
+    def search(self, query: Sequence[float], k: int = 10, **filters) -> DataFrame:
+        return self.collection.search(query, Filter(filters.get("user_id"), filters.get("lower"), filters.get("upper")), min(max(k, 1), V.MAX_K))[0]
+
+
+class Snapshot:
+    """The rows that match a filter at one generation; refuses to serve once the collection has moved on."""
+
+    def __init__(self, collection: Collection, where: Filter = ALL):
+        self.collection, (self._rows, self.generation) = collection, collection.canonical_snapshot(where)
+
+    def rows(self) -> DataFrame:
+        if self.collection.closed or self.collection.generation != self.generation:
+            raise CollectionError("StaleSnapshot")
+        return self._rows
+
+    def search(self, queries: list[Sequence[float]], k: int) -> DataFrame:
+        units = [(i, V.validate(q, self.collection.dimension)) for i, q in enumerate(queries)]
+        return search.batch_top_k(self.rows().withColumn("live", F.lit(True)), self.collection.spark.createDataFrame(units, "query_id long, query array<float>"), k)
+
+
+def catalog(spark: SparkSession, text: str = "") -> DataFrame:
+    """name, kind, summary of the public functions of this package that have the text in one of the three, any case."""
+    import importlib
+    import inspect
+
+    rows = []
+    for name in ("functions.vectors", "functions.evaluation", "functions.generators", "operators.search", "operators.ivf", "operators.predicate", "operators.mutations"):
+        module = importlib.import_module(f"lodestar.{name}")
+        rows += [(n, name, (inspect.getdoc(f) or "").split("\n")[0]) for n, f in sorted(vars(module).items()) if inspect.isfunction(f) and f.__module__ == module.__name__ and n[0] != "_"]
+    found = spark.createDataFrame(rows, "name string, kind string, summary string")
+    wanted = F.lower(F.lit(text))
+    return found.where(F.contains(F.lower("name"), wanted) | F.contains(F.lower("kind"), wanted) | F.contains(F.lower("summary"), wanted)).orderBy("name")

@@ -2,13 +2,11 @@
 
 Files of (seq, op, id, user_id, timestamp, vector) that arrive in a folder become commits, one per micro-batch,
 in order of seq. A micro-batch that breaks a rule stops the stream and leaves the collection as it was. A
-micro-batch that is delivered again after a failure is recognised by its number, kept beside the commits.
+micro-batch that is delivered again after a failure is recognised by its number, which the commit's own marker holds.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,10 +21,7 @@ def follow(spark: SparkSession, folder: str, target: Collection, checkpoint: str
     rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_at_once).parquet(folder)
 
     def apply(batch: DataFrame, number: int) -> None:
-        done = target.files.names("stream")
-        if f"{number:020d}.json" not in done:
-            report = target.commit_table(batch)
-            target.files.put(f"stream/{number:020d}.json", json.dumps({"generation": report.generation}))
+        target.commit_table(batch, stream=number)
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
