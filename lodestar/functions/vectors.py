@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,11 @@ def literal(vector: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)).cast("float") for x in vector])
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, where use has it within a lambda, which would compute it for each component."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
@@ -27,8 +32,7 @@ def norm(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """Each component over the vector's length, rounded to float; no checks (see problem)."""
-    length = norm(v)
-    return F.transform(v, lambda x: (x.cast("double") / length).cast("float"))
+    return once(norm(v), lambda length: F.transform(v, lambda x: (x.cast("double") / length).cast("float")))
 
 
 def problem(v: Column, dimension: int) -> Column:
@@ -63,7 +67,7 @@ def similarity(d: Column) -> Column:
 def scaled_normalized(v: Column) -> Column:
     """Normalisation that can't overflow: by the greatest magnitude first."""
     top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    return normalized(F.transform(v, lambda x: x.cast("double") / top))
+    return once(F.transform(v, lambda x: x.cast("double")), lambda w: once(top, lambda t: normalized(F.transform(w, lambda x: x / t))))
 
 
 def code_scale(v: Column) -> Column:
@@ -72,8 +76,7 @@ def code_scale(v: Column) -> Column:
 
 def codes(v: Column) -> Column:
     """8-bit codes: components over the scale, rounded half away from zero; all zero for a zero vector."""
-    scale = code_scale(v)
-    return F.transform(v, lambda x: F.when(scale == 0, F.lit(0)).otherwise(F.round((x / scale).cast("float"))).cast("tinyint"))
+    return once(code_scale(v), lambda scale: F.transform(v, lambda x: F.when(scale == 0, F.lit(0)).otherwise(F.round((x / scale).cast("float"))).cast("tinyint")))
 
 
 def quantised(v):

@@ -21,6 +21,7 @@ from lodestar.functions.evaluation import contiguous_runs
 from lodestar.operators import ivf, mutations, search
 from lodestar.operators.predicate import ALL, Filter, eligible, page
 from lodestar.operators.search import AUTO
+from lodestar.sources import scratch
 
 SCHEMA = "id long, user_id long, timestamp long, vector array<float>, live boolean, slot long"
 LOG = "seq long, op string, id long, user_id long, timestamp long, vector array<float>, slot long, generation long"
@@ -128,13 +129,7 @@ class Collection:
             raise CollectionError("ZeroDimension")
         self.spark, self.dimension, self.budget, self.durable = spark, dimension, budget, path is not None
         if path is None:
-            from pathlib import Path
-            from tempfile import mkdtemp
-
-            place = spark.conf.get("spark.checkpoint.dir", None)
-            if not place and not spark.sparkContext.master.startswith("local"):
-                raise CollectionError("SharedFolderMissing")  # executors don't see a local folder of the driver
-            path = f"{place.rstrip('/')}/collection-{uuid.uuid4().hex}" if place else Path(mkdtemp()).as_uri()
+            path = scratch.folder(spark, "collection")
         self.path, self.files = path.rstrip("/"), _Files(spark, path)
         self.closed, self.uncertain, self.generation, self.explicit, self.detailed = False, False, 0, False, False
         self.index: tuple[int, ivf.Index] | None = None

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 import duckdb
-from lodestar.plans import evaluation_queries, registry, report_queries, store_queries  # noqa: F401
+from lodestar.plans import collection_queries, evaluation_queries, registry, report_queries, store_queries  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 
