@@ -164,18 +164,20 @@ class Collection:
         if dimension is not None and marks[0]["dimension"] != dimension:
             raise CollectionError("DimensionMismatch")
         out.dimension = marks[0]["dimension"]
-        out._live_marks(marks)
+        snapshot, _ = out._live_marks(marks)
+        if snapshot and spark.read.schema(SCHEMA).parquet(f"{out.path}/{snapshot['data']}").count() != snapshot["rows"]:
+            raise CollectionError("Corrupt")  # Parquet footers tell the count
         out.generation, out.opened = max(m["generation"] for m in marks), True
         return out
 
     @classmethod
-    def import_portable(cls, spark: SparkSession, source: str, path: str | None = None, budget: int = BUDGET) -> Collection:
+    def import_portable(cls, spark: SparkSession, source: str, path: str | None = None, budget: int = BUDGET, magic: bytes | None = None) -> Collection:
         """A portable file, which the driver reads in batches; stored vectors are kept to the bit."""
         import pyarrow as pa
 
         from lodestar.sources import portable
 
-        head, batches = portable.read(source)
+        head, batches = portable.read(source, magic=magic)
         out = cls(spark, path, head["dimension"], budget)
         if path is not None and out.files.names(""):
             raise CollectionError("AlreadyExists")
@@ -497,13 +499,24 @@ class Collection:
         self.records().repartitionByRange("user_id", "timestamp").sortWithinPartitions("user_id", "timestamp").write.parquet(f"{self.path}/{name}")
         rows, live = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}").agg(F.count("*"), F.count_if("live")).first()
         stream = self._last()["stream"]
-        self._mark({"kind": "snapshot", "data": name, "generation": self.generation, "rows": rows, "live": live} | ({} if stream < 0 else {"stream": stream}))
+        self._mark({"kind": "snapshot", "data": name, "generation": self.generation, "rows": rows, "live": live, "digest": self._digest(name)} | ({} if stream < 0 else {"stream": stream}))
         keep = snapshot["generation"] if snapshot else -1
         for m in marks:
             if m["kind"] == "log" and m["generation"] <= keep or m["kind"] == "snapshot" and m["generation"] < keep:
                 self.files.drop(f"commits/{m['generation']:020d}-{m['kind']}.json")
                 self.files.drop(m["data"])
 
+    def verify(self) -> None:
+        """Reads the newest snapshot whole and compares the sum of its rows' hashes with its marker's; Corrupt if they differ."""
+        self._check()
+        snapshot, _ = self._live_marks(self._marks())
+        if snapshot and "digest" in snapshot and self._digest(snapshot["data"]) != snapshot["digest"]:
+            raise CollectionError("Corrupt")
+
+    def _digest(self, name: str) -> str:
+        rows = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}")
+        return str(rows.agg(F.sum(F.xxhash64(*rows.columns).cast("decimal(20,0)"))).first()[0])
+
     def export_portable(self, target: str, magic: bytes | None = None) -> None:
         """All rows in slot order into one new local file, one partition at a time."""
         import pyarrow as pa

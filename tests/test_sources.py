@@ -157,6 +157,38 @@ def test_views_and_snapshots(filled, spark):
     assert {"top_k", "batch_top_k"} <= {r.name for r in catalog(spark, "TOP_K").collect()}
 
 
+def test_portable_is_healed_and_snapshots_are_verified(spark, filled, tmp_path):
+    from lodestar.sources import portable
+
+    at = f"{tmp_path}/whole"
+    filled.export_portable(at)
+    os.rename(at, f"{at}.pending")
+    assert portable.read(at)[0]["rows"] == 300 and os.path.exists(at) and not os.path.exists(f"{at}.pending")
+    with pytest.raises(portable.Damaged, match="magic"):
+        portable.read(at, magic=b"OTHERS1\0")
+    assert portable.read(at, magic=None)[0]["generation"] == 300
+    os.rename(at, f"{at}.pending")
+    with open(f"{at}.pending", "r+b") as f:
+        f.seek(100)
+        f.write(b"?")
+    with pytest.raises(FileNotFoundError):
+        portable.read(at)
+    filled.flush()
+    filled.verify()
+    data = f"{filled.path}/" + next(m for m in filled._marks() if m["kind"] == "snapshot")["data"]
+    rows = spark.read.parquet(data)
+    rows.withColumn("user_id", F.col("user_id") + 1).write.mode("overwrite").parquet(f"{data}-other")
+    os.rename(data, f"{data}-old")
+    os.rename(f"{data}-other", data)
+    with pytest.raises(CollectionError, match="Corrupt"):
+        filled.verify()
+    os.rename(data, f"{data}-changed")
+    rows_of = spark.read.parquet(f"{data}-old").where("id > 5")
+    rows_of.write.parquet(data)
+    with pytest.raises(CollectionError, match="Corrupt"):
+        Collection.open(spark, filled.path)
+
+
 def test_capacity(spark, tmp_path):
     c = Collection.create(spark, f"{tmp_path}/small", 4, budget=2 * (32 + 16 + 512))
     c.add_batch([(1, 1, 1, [1.0, 0, 0, 0]), (2, 1, 1, [1.0, 0, 0, 0])])
