@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,11 @@ def check(nprobe: int, lists: int) -> None:
 
 @dataclass
 class Index:
-    """centroids: at most 64, on the driver. path: where the rows are stored by list, if they are."""
+    """centroids: at most 64, on the driver. paths: folders with the rows by list, if they are stored. gone: ids deleted since."""
 
     centroids: np.ndarray
-    path: str | None = None
+    paths: tuple[str, ...] = ()
+    gone: DataFrame | None = None
 
 
 def centroids(records: DataFrame, lists: int) -> np.ndarray:
@@ -76,12 +78,16 @@ def with_lists(rows: DataFrame, c: np.ndarray, vector: str = "vector") -> DataFr
 def build(records: DataFrame, lists: int, path: str | None = None) -> Index:
     """With a path the rows are stored there in a folder for each list, so that a search reads the probed lists only."""
     check(1, lists)
-    index = Index(centroids(records, lists), path)
+    index = Index(centroids(records, lists), (path,) if path else ())
     if path and len(index.centroids):
-        with_lists(records, index.centroids).write.partitionBy("list").parquet(path)
+        store(records, index.centroids, path)
     return index
 
 
+def store(records: DataFrame, c: np.ndarray, path: str) -> None:
+    with_lists(records, c).write.partitionBy("list").parquet(path)
+
+
 def probed(c: np.ndarray, queries: np.ndarray, nprobe: int, union: bool) -> np.ndarray:
     """Of each query and list whether it's probed: the nprobe lists with the greatest products."""
     product = queries.astype(np.float64) @ c.astype(np.float64).T
@@ -104,9 +110,12 @@ def search(index: Index, records: DataFrame, queries: DataFrame, k: int, nprobe:
     check(nprobe, len(index.centroids))
     names, matrix = np.array([r[0] for r in given], np.int64), np.array([r[1] for r in given], np.float32)
     probe = probed(index.centroids, matrix, nprobe, union)
-    if index.path:
-        stored = records.sparkSession.read.parquet(index.path).where(F.col("list").isin(np.flatnonzero(probe.any(0)).tolist()))
-        rows = eligible(stored, where).select("id", "vector", "list")
+    if index.paths:
+        wanted = F.col("list").isin(np.flatnonzero(probe.any(0)).tolist())
+        parts = [eligible(records.sparkSession.read.parquet(p).where(wanted), where).select("id", "vector", F.col("list").cast("int").alias("list")) for p in index.paths]
+        rows = reduce(DataFrame.unionByName, parts)
+        if index.gone is not None:
+            rows = rows.join(index.gone, "id", "left_anti").select("id", "vector", "list")
     else:
         rows = eligible(records, where).select("id", "vector")
     table = rows.sparkSession.sparkContext.broadcast((names, matrix, probe, index.centroids))

@@ -177,6 +177,27 @@ def oracle_top_k(rows: DataFrame, queries: list[tuple[int, Sequence[float]]], k:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
+TENSOR_QUERIES = 128
+
+
+def tensor_top_k(records: DataFrame, queries: DataFrame, k: int, where: Filter = ALL) -> DataFrame:
+    """query_id, tied, rank, id, distance: the k nearest, and whether the place behind the last is as near as the last.
+
+    As programs on tensors have it: k + 1 places are taken, so that a tie at the cut is seen; it goes by id. At most
+    TENSOR_QUERIES queries; ids must not be negative.
+    """
+    V.check_k(k)
+    if queries.count() > TENSOR_QUERIES:
+        raise ValueError("TooManyQueries")
+    if not records.where("id < 0").isEmpty():
+        raise ValueError("NegativeId")
+    given = [(r[0], V.validate(r[1], len(r[1]))) for r in queries.select("query_id", "query").collect()]
+    near = ranked(nearest(eligible(records, where), given, k + 1), k + 1)
+    last = F.max(F.when(F.col("rank") == k, F.col("distance")))
+    cut = near.groupBy("query_id").agg(F.coalesce(last == F.max(F.when(F.col("rank") == k + 1, F.col("distance"))), F.lit(False)).alias("tied"))
+    return near.where(F.col("rank") <= k).join(cut, "query_id").select("query_id", "tied", "rank", "id", "distance")
+
+
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")

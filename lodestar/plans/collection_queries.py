@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import mutations
+from lodestar.functions import evaluation as E
+from lodestar.operators import mutations, search
 from lodestar.operators.predicate import Filter
 from lodestar.plans import suite
-from lodestar.plans.registry import META, RECORDS, SAMPLES, meta, query, samples, table, units
-from lodestar.plans.store_queries import LOW, STATED, WINDOW, _batch, rounded
+from lodestar.plans.registry import RECORDS, SAMPLES, meta, query, records, samples, table, units
+from lodestar.plans.store_queries import LOW, STATED, WINDOW, _batch, _queries, rounded
 from lodestar.sources import scratch, tables
 from lodestar.sources.collection import Collection, Snapshot, View
 
@@ -167,3 +168,47 @@ def e7(spark, d):
 def e8(spark, d):
     got = suite.suite(spark, suite.SIZES["quick"])
     return got.select(F.regexp_replace("cell", "_[0-9]+_of_[0-9]+$", "").alias("cell"), "rows", "passed")
+
+
+@query("e6_benchmark_cell", f"{RECORDS}, q AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 50 = 0) SELECT (SELECT count(*) FROM rec) AS corpus_rows, (SELECT count(*) FROM rec WHERE live AND timestamp >= {LOW}) AS eligible_rows, n AS queries, least(n * 10, n * (SELECT count(*) FROM rec WHERE live AND timestamp >= {LOW})) AS result_count, true AS passed FROM q")
+def e6(spark, d):
+    r = records(spark, d)
+    q, tuning = (units(spark, d).where(f"vec_id % 50 = {x}").select(F.col("vec_id").alias("query_id"), F.col("v").alias("query")) for x in (0, 25))
+    got = suite.cell(r, q, tuning, Filter(None, LOW), 10, 0.9, 8, runs=1)
+    return spark.createDataFrame([(got["corpus_rows"], got["eligible_rows"], got["queries"], got["result_count"], got["recall_at_k"] >= 0.8)], "corpus_rows long, eligible_rows long, queries long, result_count long, passed boolean")
+
+
+@query("io18_nested_recalls", _batch("true", 10, STATED))
+def io18(spark, d):
+    hits = search.batch_top_k(records(spark, d), _queries(spark, d, STATED), 10)
+    nested = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "distance"))).alias("h"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    at = scratch.folder(spark, "recalls")
+    e.join(nested, "query_id").select("query_id", "embedding", F.transform("h", lambda x: F.struct(x["id"].alias("id"), x["distance"].alias("distance"))).alias("recall")).write.parquet(at)
+    return rounded(tables.read_recalls(spark, at))
+
+
+@query("k14_ties_at_the_cut", f"{_batch('true', 11, STATED).replace('SELECT query_id, CAST(rank AS INT) AS rank, id, round(CAST(d AS DOUBLE), 6) + 0.0 AS distance', 'SELECT query_id, coalesce(max(d) FILTER (rank = 10) = max(d) FILTER (rank = 11), false) AS tied, count(*) FILTER (rank <= 10) AS hits')} GROUP BY query_id")
+def k14(spark, d):
+    got = search.tensor_top_k(records(spark, d), _queries(spark, d, STATED), 10)
+    return got.groupBy("query_id", "tied").agg(F.count("*").alias("hits"))
+
+
+@query("w24_replayed_engine", "SELECT vec_id AS query_id, 10 AS results, true AS valid FROM embeddings WHERE vec_id % 50 = 0")
+def w24(spark, d):
+    """Another engine's results, here those of 8-bit search, held against the oracle: as many, near enough, in order, and tied at most."""
+    r = records(spark, d)
+    other = search.batch_top_k(r, _queries(spark, d, STATED), 10, strategy=search.INT8)
+    e = table(spark, d, "embeddings")
+    given = [(x[0], list(x[1])) for x in e.where(STATED).select("vec_id", "embedding").collect()]
+    truth = search.oracle_top_k(r.where("live"), given, 10)
+    bound = truth.groupBy("query_id").agg(F.max("distance").alias("boundary"), F.count("*").alias("expected"))
+    per = other.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("distance").cast("double").alias("distance")))).alias("h"))
+    found = F.transform("h", lambda x: x["distance"])
+    valid = E.tie_compatible(found, F.col("boundary"), F.col("expected"), 1e-5) & (F.sort_array(found) == found)
+    return per.join(bound, "query_id").select("query_id", F.size("h").alias("results"), valid.alias("valid"))
+
+
+@query("r3_slot_order", f"{RECORDS} SELECT slot, id, live FROM rec")
+def r3(spark, d):
+    return _filled(spark, d).in_slot_order().select("slot", "id", "live")

@@ -50,6 +50,30 @@ def lifecycle(spark: SparkSession, path: str, rows: DataFrame, extra: list[tuple
     return spark.createDataFrame(out, "phase string, generation long, mutation_ms double, first_search_ms double, result_count int, deleted_id_absent boolean")
 
 
+def cell(records: DataFrame, queries: DataFrame, tuning: DataFrame, where, k: int, target: float, lists: int, runs: int = 3) -> dict:
+    """One cell of a benchmark: truth by the oracle, effort tuned on other queries, a warm-up, timed runs, a summary."""
+    from lodestar.operators.predicate import eligible
+
+    rows = eligible(records, where)
+    given = [(r[0], list(r[1])) for r in queries.collect()]
+    truth = search.oracle_top_k(rows, given, k).select("query_id", "id")
+    began = time.perf_counter()
+    index = ivf.build(records, lists)
+    built = time.perf_counter() - began
+    effort = ivf.tune(ivf.recalls(index, records, tuning, k, range(1, lists + 1), where), target)
+    spent, hits = [], None
+    for i in range(runs + 1):
+        began = time.perf_counter()
+        hits = ivf.search(index, records, queries, k, effort, where)
+        found = hits.collect()
+        if i:  # the first only warms up
+            spent.append(time.perf_counter() - began)
+    total = truth.count()
+    recall = records.sparkSession.createDataFrame([(r.query_id, r.id) for r in found], "query_id long, id long").join(truth, ["query_id", "id"]).count() / max(1, total)
+    spent.sort()
+    return {"corpus_rows": records.count(), "eligible_rows": rows.count(), "queries": len(given), "k": k, "effort": effort, "build_s": built, "p50_batch_s": spent[(len(spent) - 1) // 2], "runs": runs, "result_count": len(found), "recall_at_k": recall, "recall_target_passed": recall + 1e-12 >= target}
+
+
 SIZES = {"quick": 10_000, "full": 100_000}
 
 

@@ -26,6 +26,8 @@ from lodestar.sources import scratch
 SCHEMA = "id long, user_id long, timestamp long, vector array<float>, live boolean, slot long"
 LOG = "seq long, op string, id long, user_id long, timestamp long, vector array<float>, slot long, generation long"
 BUDGET = 512 << 20
+CHUNKS = 8
+"""Folders of later rows that an index has at most before it is built anew."""
 
 
 class CollectionError(Exception):
@@ -133,7 +135,7 @@ class Collection:
         self.path, self.files = path.rstrip("/"), _Files(spark, path)
         self.closed, self.uncertain, self.generation, self.explicit, self.detailed = False, False, 0, False, False
         self.index: tuple[int, ivf.Index] | None = None
-        self.opened, self.reason = False, None
+        self.opened, self.reason, self.rebuilt = False, None, False
         self.ivf: dict | None = None
         self._state: DataFrame | None = None
         self.profile: dict | None = None
@@ -376,6 +378,10 @@ class Collection:
         """Live matching rows and the generation that they belong to."""
         return eligible(self.records(), where), self.generation
 
+    def in_slot_order(self) -> DataFrame:
+        """All rows, deleted ones too, in the order of their slots."""
+        return self.records().orderBy("slot")
+
     def stats(self) -> dict:
         rows, live = (0, 0) if self.closed else self.records().agg(F.count("*"), F.count_if("live")).first()
         return {"rows": rows, "live_rows": live, "tombstones": rows - live, "dimension": self.dimension, "generation": self.generation, "closed": self.closed, "durable": self.durable}
@@ -386,14 +392,58 @@ class Collection:
         self._check()
         if self.ivf and (self.index is None or self.index[0] != self.generation):
             self.reason, found = self._why()
+            self.rebuilt = False
+            if found is None and self.reason in ("Mutation", "StaleIndex"):
+                found = self._updated()
             if found is None:
                 self._drop_index()
-                place = f"index/{uuid.uuid4().hex}"
+                self.rebuilt, place = True, f"index/{uuid.uuid4().hex}"
                 found = ivf.build(self.records(), self.ivf["lists"], f"{self.path}/{place}")
-                mark = {"dimension": self.dimension, "generation": self.generation, "lists": self.ivf["lists"], "data": place, "centroids": found.centroids.tolist()}
-                self.files.put("index/marker.json", json.dumps(mark | {"crc": _crc(mark)}))
+                self._mark_index([place], found.centroids)
             self.index = (self.generation, found)
 
+    def _mark_index(self, data: list[str], centroids) -> None:
+        mark = {"dimension": self.dimension, "generation": self.generation, "lists": self.ivf["lists"], "rows": self.records().count(), "data": data, "centroids": centroids.tolist()}
+        self.files.drop("index/marker.json")  # the index can be made again, so a moment without one does no harm
+        self.files.put("index/marker.json", json.dumps(mark | {"crc": _crc(mark)}))
+
+    def _index_mark(self) -> dict | None:
+        """The marker of the stored index; None if it, or what it names, is damaged."""
+        try:
+            mark = json.loads(self.files.get("index/marker.json"))
+            there = self.files.names("index")
+            good = mark.pop("crc", None) == _crc(mark) and mark["dimension"] == self.dimension and all(p.split("/")[1] in there for p in mark["data"])
+        except (ValueError, KeyError):
+            good = False
+        return mark if good else None
+
+    def _stored(self, mark: dict) -> ivf.Index:
+        import numpy as np
+
+        return ivf.Index(np.array(mark["centroids"], np.float32), tuple(f"{self.path}/{p}" for p in mark["data"]), self.records().where("not live").select("id"))
+
+    def _updated(self) -> ivf.Index | None:
+        """The stored index with the rows that came since, in a folder of their own, and without those deleted since.
+
+        None, so that all is built anew, after CHUNKS such folders, or if over a quarter of the rows are new.
+        """
+        mark = self._index_mark()
+        if mark is None or mark["lists"] != self.ivf["lists"] or len(mark["data"]) > CHUNKS or not mark["centroids"]:
+            return None
+        more = self.records().where(F.col("slot") >= mark["rows"])
+        n = more.count()
+        if 4 * n > mark["rows"]:
+            return None
+        import numpy as np
+
+        data, centroids = mark["data"], np.array(mark["centroids"], np.float32)
+        if n:
+            place = f"index/{uuid.uuid4().hex}"
+            ivf.store(more, centroids, f"{self.path}/{place}")
+            data = [*data, place]
+        self._mark_index(data, centroids)
+        return ivf.Index(centroids, tuple(f"{self.path}/{p}" for p in data), self.records().where("not live").select("id"))
+
     def _drop_index(self) -> None:
         self.files.drop("index")
 
@@ -403,18 +453,12 @@ class Collection:
             return "Mutation", None
         if "marker.json" not in self.files.names("index"):
             return ("MissingIndex" if self.opened else "Initial"), None
-        try:
-            mark = json.loads(self.files.get("index/marker.json"))
-            good = mark.pop("crc", None) == _crc(mark) and mark["dimension"] == self.dimension and mark["data"].split("/")[1] in self.files.names("index")
-        except (ValueError, KeyError):
-            good = False
-        if not good:
+        mark = self._index_mark()
+        if mark is None:
             return "CorruptIndex", None
         if (mark["generation"], mark["lists"]) != (self.generation, self.ivf["lists"]):
             return "StaleIndex", None
-        import numpy as np
-
-        return "Restart", ivf.Index(np.array(mark["centroids"], np.float32), f"{self.path}/{mark['data']}")
+        return "Restart", self._stored(mark)
 
     def _ready(self) -> bool:
         if not self.ivf or (self.index is not None and self.index[0] == self.generation):
@@ -450,7 +494,7 @@ class Collection:
         target, why = route(facts.get("eligible_rows"), len(queries), self.profile)
         fallback = None if target == "processor" else "no accelerator"
         used = "ivf" if self.ivf else search.BLOCK if strategy == search.AUTO else strategy
-        report = Report(uuid.uuid4().hex, "approximate" if self.ivf else "exact", used, self.generation, self.index[0] if self.ivf else None, rebuilt, self.reason if rebuilt else None, len(queries), k, where.kind(), f"{target}: {why}", fallback, **facts)
+        report = Report(uuid.uuid4().hex, "approximate" if self.ivf else "exact", used, self.generation, self.index[0] if self.ivf else None, rebuilt and self.rebuilt, self.reason if rebuilt else None, len(queries), k, where.kind(), f"{target}: {why}", fallback, **facts)
         return hits, [report for _ in queries]
 
     # options

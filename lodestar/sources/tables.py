@@ -33,6 +33,12 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
 
 
+def read_recalls(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, rank, id, distance from Parquet rows (query_id, embedding, recall), recall being the true neighbours in order."""
+    rows = spark.read.schema("query_id long, embedding array<float>, recall array<struct<id: long, distance: float>>").parquet(path)
+    return rows.select("query_id", F.posexplode("recall").alias("at", "r")).select("query_id", (F.col("at") + 1).alias("rank"), "r.id", "r.distance")
+
+
 def write_result(df: DataFrame, folder: str, name: str) -> str:
     """One of RESULTS as CSV files with a header below folder; arrays are joined by semicolons. The folder must not exist yet."""
     if name not in RESULTS:

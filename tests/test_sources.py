@@ -121,6 +121,12 @@ def test_stored_index(spark, filled):
     hits, report = filled.search([1, 2, 3, 4], k=64)
     assert report.preparation_reason == "Mutation" and 3 not in {r.id for r in hits.collect()}
     assert reason(Collection.open(spark, filled.path)) == "Restart"
+    assert not report.rebuilt  # one deletion is taken from the stored rows
+    filled.add(1000, 1, 1, [1, 2, 3, 4])
+    hits, report = filled.search([1, 2, 3, 4], k=64)
+    assert not report.rebuilt and {1000} <= {r.id for r in hits.collect()} and len(filled.files.names("index")) == 3
+    exact = Collection.open(spark, filled.path).search([1, 2, 3, 4], k=64)[0].collect()
+    assert [(r.rank, r.id) for r in sorted(hits.collect(), key=lambda r: r.rank)] == [(r.rank, r.id) for r in sorted(exact, key=lambda r: r.rank)]
     filled.delete(4)
     assert reason(Collection.open(spark, filled.path)) == "StaleIndex"
     marker = f"{filled.path}/index/marker.json"
@@ -134,6 +140,14 @@ def test_stored_index(spark, filled):
     assert reason(Collection.open(spark, filled.path)) == "MissingIndex"
 
 
+def test_index_is_built_anew_after_many_rows(filled):
+    filled.set_ivf(8, 8)
+    filled.search([1, 2, 3, 4])
+    rng = np.random.default_rng(5)
+    filled.add_buffer(rng.normal(size=(100, 4)).astype(np.float32), np.arange(2000, 2100))
+    assert filled.search([1, 2, 3, 4])[1].rebuilt and len(filled.files.names("index")) == 2
+
+
 def test_damaged_marker(spark, filled):
     name = next(n for n in os.listdir(f"{filled.path}/commits") if n.endswith("log.json"))
     at = f"{filled.path}/commits/{name}"
