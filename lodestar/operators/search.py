@@ -6,7 +6,8 @@ single precision or of 8-bit codes; rows that can't be among a query's k nearest
 error bound, are dropped; what is left is scored in double precision, summed in the order of components as the
 Columns do, and k rows per query leave the batch. Of equal vectors k at most are looked at. Only the queries are
 broadcast, at most MAX_QUERIES at once; more are taken in parts, so there is no cross join and no pair of a query
-and a far row ever becomes a row. AUTO is REFERENCE for one query and BLOCK for a batch.
+and a far row ever becomes a row. AUTO is BLOCK, which is the faster for one query too, or REFERENCE where no bound
+holds.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ def top_k(records: DataFrame, query: Sequence[float], k: int, where: Filter = AL
     check_strategy(strategy)
     q = V.validate(query, len(query))
     rows = eligible(records, where)
+    if strategy == AUTO and V.fp32_bound(len(q)) is not None:
+        strategy = BLOCK
     if strategy in (BLOCK, INT8):
         near = nearest(rows, [(0, q)], k, strategy).select("id", "distance")
     else:
