@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns the
 documents' columns; the last returns the pieces of the packed sequences. Models are learnt from the labels
 of the documents that reach the stage.
+
+Every stage takes null ids and texts, empty and very long texts, repeated rows, empty tables and columns of any name. A
+null or empty text isn't toxic, fails the base rules, is a duplicate of nothing and has no passage. Rows with a null id are
+no one's duplicate; rows with equal ids are one document in near-duplicate groups and stay or go together there; ties go
+to the least id. Without labels of both kinds nothing is learnt, and only fixed rules reject. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import decontamination, neardup, packing, quality, tokens, toxicity
-from lodestar.llm.common import table, written
+from lodestar.llm.common import drop, table, written
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +59,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
