@@ -92,7 +92,7 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     """key, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     A null text is empty and is one piece with the end id alone. Rows with equal or null keys are documents of
-    their own. An empty table gives an empty one. Spans refer to a document's ids followed by the end id.
+    their own; other columns are not read, so their names don't matter. An empty table gives an empty one. Spans refer to a document's ids followed by the end id.
 
     Texts are encoded once; the pieces, 40 bytes each, are written to the shared folder. The driver gets the
     histogram (at most capacity rows) and plans. A length with many pieces is split over salts, in proportion,

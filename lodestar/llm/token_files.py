@@ -80,7 +80,7 @@ def unpack_block(block: bytes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray
 def write_files(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
     """Writes path/blocks and path/ranks; see the module. Documents are in ascending order of key over all blocks.
 
-    A null text is empty and has the end id alone; a null key comes first; rows with equal keys follow one
+    Keys are integers. A null text is empty and has the end id alone; a null key comes first; rows with equal keys follow one
     another in the order of their ids' crc. An empty table writes no block. Texts are encoded once, into a
     table of ids in the shared folder, from which frequencies are counted (one row per id and task, summed
     by id) and blocks made. The shuffle that orders documents moves ids, not texts.

@@ -28,7 +28,8 @@ from lodestar.llm import wordscan
 from lodestar.llm.common import arrow_map, give_back, in_batches
 from lodestar.llm.quality import labelled_sample, sigmoid
 
-SAMPLE = 1500
+SAMPLE, SAMPLE_BYTES = 1500, 1 << 16
+"""Labelled rows of each label that are learnt from, and the longest text among them; texts of any length are scored."""
 BITS, DIM, FILTERS, WIDTHS = 22, 8, 6, (1, 2, 3)
 MIN_DOCS = 2
 HELD_OUT, FOLDS = 0, 5
@@ -267,7 +268,7 @@ def fit(buckets: np.ndarray, at: np.ndarray, y: np.ndarray, language: np.ndarray
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model | None:
     """A model from labelled rows that aren't held out; None if a label is missing.
 
-    Executors send word buckets, not texts: the driver gets 12 bytes a word of at most 2 x per_label texts.
+    Executors send word buckets, not texts: the driver gets 12 bytes a word of at most 2 x per_label texts of SAMPLE_BYTES.
     """
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
         for block in wordscan.blocks(batch.column(2)):
@@ -276,7 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model
             raw = [buckets[:, at[i] : at[i + 1]].astype("<i4").tobytes() for i in range(n)]
             yield {"id": batch.column(0).slice(block.first, n), "label": batch.column(1).slice(block.first, n), "language": language, "x": pa.array(raw, pa.binary())}
 
-    sample = labelled_sample(docs, labels, "toxic", per_label, ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long"), "label", "text")
+    sample = labelled_sample(docs, labels, "toxic", per_label, ~held_out(F.col("doc_id"))).where(F.octet_length("text") <= SAMPLE_BYTES).select(F.col("doc_id").cast("long"), "label", "text")
     got = arrow_map(sample, "id long, label int, language long, x binary", rows).toArrow().sort_by("id").to_pylist()
     once = {r["x"]: r for r in got}
     got = sorted(once.values(), key=lambda r: (r["id"], r["label"]))
@@ -295,7 +296,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out, score, predicted for every row; 0 without a model. A null text is an empty one."""
+    """key, held_out, score, predicted for every row; 0 without a model.
+
+    A null text is an empty one; repeated rows and null keys are scored like any others; other columns are not read, so
+    their names don't matter; an empty table gives an empty one.
+    """
     table = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -314,7 +319,7 @@ def scored(column, model: Model | None):
 
 
 def keep(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The rows that score under 0.5, all columns as they were."""
+    """The rows that score under 0.5, all columns as they were, whatever their names; null texts are empty ones."""
     table, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
