@@ -329,6 +329,7 @@ def _open(shared: DataFrame, first: DataFrame, reps: DataFrame) -> DataFrame:
     rows = shared.where("n > 2").select("bucket", "id").join(first, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     parts = rows.groupBy("bucket", "root").agg(F.count("*").alias("c"))
     kinds = parts.groupBy("bucket").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("main"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("rest")).where("rest > 0")
+    kinds = written(kinds, "kinds")
     return rows.join(kinds, "bucket").join(reps.select("id", "n_shingles", "registers"), "id").select("bucket", "main", "n", "rest", "id", "root", "n_shingles", "registers")
 
 
@@ -388,11 +389,14 @@ def _stars(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (id, bucket): those of buckets of two and more with the bucket's n, and the pairs (a, b) of each with its leads.
 
     Leads: the least id, and the id whose buckets are the fullest, so the text that others are copies of, if it's there.
+    What is summed up by bucket is written before it is joined: a join whose sides are both dealt out for it alone can
+    be split where a bucket is hot.
     """
-    leads = bands.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    leads = written(bands.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1"), "leads")
     shared = written(bands.join(leads, "bucket"), "buckets")
+    drop(leads)
     fame = shared.groupBy("id").agg(F.sum("n").alias("fame"))
-    second = shared.where("n > 2").join(fame, "id").groupBy("bucket").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("other"))
+    second = written(shared.where("n > 2").join(fame, "id").groupBy("bucket").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("other")), "seconds")
     stars = shared.select(F.col("lead").alias("a"), F.col("id").alias("b")).union(shared.join(second, "bucket").select("other", "id"))
     return shared, stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
