@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import drop, written
+from lodestar.llm.common import drop, partitions, written
+
+
+def _dealt(low: DataFrame) -> DataFrame:
+    """The rows dealt by all columns, so that a join by one deals both sides anew: only then can Spark split a hub's rows."""
+    return low.repartition(partitions(low.sparkSession), F.xxhash64(*low.columns))
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -13,10 +18,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        out = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = both.where("b > a").join(_dealt(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     low = edges.groupBy("b").agg(F.min("a").alias("m"))
-    near = edges.join(low, "b")
+    near = edges.join(_dealt(low), "b")
     out = near.select(F.col("m").alias("a"), F.col("a").alias("b")).union(low.select(F.col("m").alias("a"), "b"))
     return out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
