@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import drop, partitions, written
+from lodestar.llm.common import drop, written
 
 
 def _dealt(low: DataFrame) -> DataFrame:
     """The rows dealt by all columns, so that a join by one deals both sides anew: only then can Spark split a hub's rows."""
-    return low.repartition(partitions(low.sparkSession), F.xxhash64(*low.columns))
+    return low.repartition(F.xxhash64(*low.columns))
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
