@@ -60,23 +60,58 @@ def a23(spark, d):
 
 
 HIERARCHY_DRAWS = 2_000
+CHUNKS = 8
+"""Tasks among which the draws of a run are dealt."""
+BLOCK = 1 << 17
+"""Positions drawn at once, or those of one row if these are more."""
+
+
+def drawn_middles(values: np.ndarray, rows: np.ndarray, seed: int) -> np.ndarray:
+    """lower_middle(values[draws(n, len(values), seed)[rows]]) for any n, without making other rows or more than BLOCK positions.
+
+    Ranks are drawn in place of values, as they are shorter.
+    """
+    size = np.uint64(len(values))
+    order = np.argsort(values, kind="stable")
+    rank = np.empty(len(values), np.int32)
+    rank[order] = np.arange(len(values), dtype=np.int32)
+    out, some = np.empty(len(rows)), max(1, BLOCK // len(values))
+    for c in range(0, len(rows), some):
+        z = splitmix64(rows[c : c + some, None] * len(values) + np.arange(len(values)), seed)
+        z -= z // size * size  # the remainder; NumPy divides many by one faster
+        out[c : c + some] = values[order[lower_middle(rank.take(z.view(np.int64)))]]
+    return out
 
 
 @query("a24_hierarchical_bootstrap")
 def a24(spark, d):
-    """Per engine the 95 % interval of the lower middle of runs' lower medians; each draw takes runs, then batches within each."""
-    batches = samples(spark, d).groupBy("engine", "run", F.floor(F.col("id") / 64).alias("batch")).agg(E.lower_median("ns").alias("p"))
+    """Per engine the 95 % interval of the lower middle of runs' lower medians; each draw takes runs, then batches within each.
+
+    A run's batches travel as one value to each of CHUNKS tasks, which make a share of the draws that take this run. Samples
+    without a run are left out.
+    """
+    batches = samples(spark, d).where("run is not null").groupBy("engine", "run", F.floor(F.col("id") / 64).alias("batch")).agg(E.lower_median("ns").alias("p"))
+
+    def pack(own: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"engine": [own.engine.iloc[0]], "run": [own.run.iloc[0]], "p": [own.sort_values("batch").p.to_numpy(float).tobytes()]})
 
     def draw(own: pd.DataFrame) -> pd.DataFrame:
-        runs = [g.sort_values("batch").p.to_numpy(float) for _, g in own.sort_values("run").groupby("run")]
-        taken = draws(HIERARCHY_DRAWS, len(runs), 7)
-        middles = [lower_middle(x[draws(HIERARCHY_DRAWS * len(runs), len(x), 8 + i)]).reshape(HIERARCHY_DRAWS, -1) for i, x in enumerate(runs)]
-        every = np.stack(middles)  # run, draw, place
-        got = every[taken, np.arange(HIERARCHY_DRAWS)[:, None], np.arange(len(runs))[None, :]]
-        low, high = nearest_rank(lower_middle(got), 0.025, 0.975)
-        return pd.DataFrame({"engine": [own.engine.iloc[0]], "low": [low], "high": [high], "runs": [len(runs)]})
-
-    return batches.groupBy("engine").applyInPandas(draw, "engine string, low double, high double, runs long")
+        r = own.iloc[0]
+        taken = draws(HIERARCHY_DRAWS, int(r.runs), 7)
+        rows = np.flatnonzero((taken.ravel() == r.number) & (np.arange(taken.size) // r.runs % CHUNKS == r.chunk))
+        return pd.DataFrame({"engine": r.engine, "runs": r.runs, "row": rows, "middle": drawn_middles(np.frombuffer(r.p), rows, 8 + int(r.number))})
+
+    def interval(own: pd.DataFrame) -> pd.DataFrame:
+        n = int(own.runs.iloc[0])
+        low, high = nearest_rank(lower_middle(own.sort_values("row").middle.to_numpy().reshape(HIERARCHY_DRAWS, n)), 0.025, 0.975)
+        return pd.DataFrame({"engine": [own.engine.iloc[0]], "low": [low], "high": [high], "runs": [n]})
+
+    runs = batches.groupBy("engine", "run").applyInPandas(pack, "engine string, run long, p binary")
+    engine = Window.partitionBy("engine")
+    runs = runs.withColumns({"number": F.row_number().over(engine.orderBy("run")) - 1, "runs": F.count("*").over(engine)})
+    dealt = runs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))))
+    middles = dealt.groupBy("engine", "run", "chunk").applyInPandas(draw, "engine string, runs long, row long, middle double")
+    return middles.groupBy("engine").applyInPandas(interval, "engine string, low double, high double, runs long")
 
 
 @query("a29_block_bootstrap")
