@@ -235,11 +235,13 @@ def j8(spark, d):
 
 @query("j9_on_off_pairs", "WITH p AS (SELECT user_id % 10 AS host, event_id // 500 AS block, event_type AS engine, event_id % 2 = 0 AS heated, median(value) AS m FROM events GROUP BY ALL) SELECT host, block, engine, round(max(m) FILTER (heated) / max(m) FILTER (NOT heated), 6) AS ratio FROM p GROUP BY host, block, engine HAVING count(DISTINCT heated) = 2")
 def j9(spark, d):
+    """Groups with rows of both kinds. A median of zero gives an infinite ratio or NaN, as IEEE has it; one of nulls alone gives null."""
     e = table(spark, d, "events")
     on = F.col("event_id") % 2 == 0
-    s = e.select((F.col("user_id") % 10).alias("host"), F.floor(F.col("event_id") / 500).alias("block"), F.col("event_type").alias("engine"), F.when(on, F.col("value")).alias("on"), F.when(~on, F.col("value")).alias("off"))
-    p = s.groupBy("host", "block", "engine").agg(F.median("on").alias("on"), F.median("off").alias("off")).dropna()
-    return p.select("host", "block", "engine", F.round(F.col("on") / F.col("off"), 6).alias("ratio"))
+    s = e.select((F.col("user_id") % 10).alias("host"), F.expr("event_id div 500").alias("block"), F.col("event_type").alias("engine"), F.when(on, F.col("value")).alias("on"), F.when(~on, F.col("value")).alias("off"), on.alias("heated"))
+    p = s.groupBy("host", "block", "engine").agg(F.median("on").alias("on"), F.median("off").alias("off"), F.bool_or("heated").alias("some"), F.bool_and("heated").alias("all")).where("some and not all")
+    ratio = F.when(F.col("off") == 0, F.col("on") * F.pow("off", F.lit(-1))).otherwise(F.col("on") / F.col("off"))
+    return p.select("host", "block", "engine", F.round(ratio, 6).alias("ratio"))
 
 
 SWEEP = f"{ARMS}, q AS (SELECT run, cell, cpu, gpu FROM p WHERE cpu IS NOT NULL AND gpu IS NOT NULL), t AS (SELECT unnest([0.5, 1.5, 2.5, 3.5, 4.5, 5.5])::DOUBLE AS threshold), r AS (SELECT threshold, (CASE WHEN cell < threshold THEN cpu ELSE gpu END) / least(cpu, gpu) - 1 AS regret FROM q, t), g AS (SELECT threshold, round(max(regret), 9) AS most, count(*) FILTER (regret > 0) AS wrong, round(avg(regret), 9) AS mean FROM r GROUP BY threshold)"
