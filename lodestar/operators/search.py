@@ -139,6 +139,11 @@ def batch_top_k(records: DataFrame, queries: DataFrame, k: int, where: Filter =
     """
     V.check_k(k)
     check_strategy(strategy)
+    return ranked(_batch_scored(records, queries, k, where, strategy), k)
+
+
+def _batch_scored(records: DataFrame, queries: DataFrame, k: int, where: Filter, strategy: str) -> DataFrame:
+    """query_id, id, distance: at least the k nearest rows to each query."""
     rows = eligible(records, where).select("id", "vector")
     spark = records.sparkSession
     given = [(r[0], V.validate(r[1], len(r[1]))) for r in queries.select("query_id", "query").collect()]
@@ -150,7 +155,7 @@ def batch_top_k(records: DataFrame, queries: DataFrame, k: int, where: Filter =
             out = out.union(rows.join(units).select("query_id", "id", V.distance(F.col("query"), F.col("vector")).alias("distance")))
         else:
             out = out.union(nearest(rows, part, k, INT8 if strategy == INT8 else BLOCK))
-    return ranked(out, k)
+    return out
 
 
 def oracle_top_k(rows: DataFrame, queries: list[tuple[int, Sequence[float]]], k: int) -> DataFrame:
@@ -180,25 +185,20 @@ def oracle_top_k(rows: DataFrame, queries: list[tuple[int, Sequence[float]]], k:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-TENSOR_QUERIES = 128
-
-
 def tensor_top_k(records: DataFrame, queries: DataFrame, k: int, where: Filter = ALL) -> DataFrame:
     """query_id, tied, rank, id, distance: the k nearest, and whether the place behind the last is as near as the last.
 
-    As programs on tensors have it: k + 1 places are taken, so that a tie at the cut is seen; it goes by id. At most
-    TENSOR_QUERIES queries; ids must not be negative.
+    As programs on tensors have it: k + 1 places are taken, so that a tie at the cut is seen; it goes by id. Of queries, of
+    which those take 128 at once, any number is worked on in parts, as batch_top_k does; ids must not be negative.
     """
     V.check_k(k)
-    if queries.count() > TENSOR_QUERIES:
-        raise ValueError("TooManyQueries")
     if not records.where("id < 0").isEmpty():
         raise ValueError("NegativeId")
-    given = [(r[0], V.validate(r[1], len(r[1]))) for r in queries.select("query_id", "query").collect()]
-    near = ranked(nearest(eligible(records, where), given, k + 1), k + 1)
-    last = F.max(F.when(F.col("rank") == k, F.col("distance")))
-    cut = near.groupBy("query_id").agg(F.coalesce(last == F.max(F.when(F.col("rank") == k + 1, F.col("distance"))), F.lit(False)).alias("tied"))
-    return near.where(F.col("rank") <= k).join(cut, "query_id").select("query_id", "tied", "rank", "id", "distance")
+    near = ranked(_batch_scored(records, queries, k + 1, where, BLOCK), k + 1)
+    own = Window.partitionBy("query_id")
+    last, more = (F.max(F.when(F.col("rank") == r, F.col("distance"))).over(own) for r in (k, k + 1))
+    cut = near.withColumn("tied", F.coalesce(last == more, F.lit(False)))
+    return cut.where(F.col("rank") <= k).select("query_id", "tied", "rank", "id", "distance")
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
