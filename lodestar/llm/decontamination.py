@@ -3,8 +3,8 @@
 Words are runs of ASCII letters, digits and bytes from 0x80, in lower case. A passage is STEP * 2 words of a
 document, one every STEP words; an item's passages follow one another. Passages are TF-IDF vectors over
 2^BITS hashed words, with document frequencies counted over all documents. A randomised SVD, computed by
-executors over all passages of the benchmark and a bounded sample of documents' passages (PER_DOC of each of about
-SAMPLE_DOCS documents, by the lowest hashes of the id), gives RANK latent directions. Every passage of every
+executors over all passages of all documents and of the benchmark, gives RANK latent directions; documents and
+benchmark count alike, whichever has more passages. Every passage of every
 document is compared with all items' passages: the product of the two latent vectors by the
 length of the item's latent and of the document's whole vector, so that what a document has besides counts
 against it. An exact copy reaches the share of the item's length that the latent space keeps; candidates are
@@ -21,7 +21,7 @@ together, the heaviest common word is in both; an inverted index of the items' w
 work grows with the pairs that share heavy words, not with all passages times all items.
 
 The model, the frequencies and the items go to every task as broadcasts of bounded size (a benchmark over
-MAX_ITEMS items is worked on in parts, the frequencies and the sample being taken once), so documents are never shuffled.
+MAX_ITEMS items is worked on in parts, the model being made once), so documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -35,12 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import tokens, wordscan
-from lodestar.llm.common import arrow_map, drop, give_back, in_batches, written
+from lodestar.llm.common import arrow_map, give_back, in_batches
 from lodestar.llm.toxicity import _BETWEEN
 
 BITS, RANK, EXTRA, POWER = 13, 128, 8, 2
 STEP = 10
-SAMPLE_DOCS, PER_DOC = 1000, 4
 COSINE, OVERLAP = 0.2, 0.2
 COPY, PARAPHRASE, KEYS, ANSWERED = 0.8, 0.5, 5, 2
 BLOCK_BYTES = 1 << 18
@@ -128,84 +127,135 @@ def frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return out, n
 
 
-def _words(batch_text: pa.Array, limit: int | None) -> Iterator[tuple[int, int, bytes]]:
-    """(row, number, buckets) of each passage of each text; of a text with more than limit, as many evenly spread ones."""
-    for block in wordscan.blocks(batch_text):
-        h, at = read(block)
-        begin, runs = steps(at)
-        for i in range(len(at) - 1):
-            own = begin[runs[i] : runs[i + 1]]
-            if limit and len(own) > limit:
-                own = own[np.linspace(0, len(own) - 1, limit).astype(int)]
-            for k, s in enumerate(own.tolist()):
-                yield block.first + i, k, bucket(h[s : min(s + 2 * STEP, at[i + 1])]).astype("<i4").tobytes()
-
-
-def sampled(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """words: PER_DOC passages of each of about SAMPLE_DOCS of n documents, those with the lowest hashes of the id.
-
-    Only rows under a bound that leaves some 3 x SAMPLE_DOCS are read for their texts; at most SAMPLE_DOCS x PER_DOC
-    passages remain, however many rows share an id.
+RUNS, MANY, SLICES, WAVES = 2048, 16, 64, 4
+"""Runs of words worked on at once, and how often a bucket occurs there to be summed by a product of matrices; parts in which sums
+of buckets travel; tasks of a pass for each core, each of which sends all sums."""
+
+
+def _lengths(own: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Squared lengths of TF-IDF vectors of passages, a row of buckets each: of a word that is there n times, n^2 its squared IDF."""
+    own = np.sort(own, axis=1).T
+    square = idf**2
+    total, again = square[own[0]], np.zeros(own.shape[1], np.float32)
+    for k in range(1, len(own)):
+        again = np.where(own[k] == own[k - 1], again + 2, 0)
+        total += square[own[k]] * (again + 1)
+    return total
+
+
+def _add(own: np.ndarray, share: np.ndarray, total: np.ndarray) -> None:
+    """Adds to each bucket's row of total the row of share of each place in own. The last bucket is none."""
+    order = np.argsort(own.ravel(), kind="stable")
+    found = own.ravel()[order]
+    first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    n = np.diff(np.append(first, len(found)))
+    name = found[first]
+    many = (n > MANY) & (name != len(total) - 1)
+    if many.any():
+        number = np.full(len(total), -1)
+        number[name[many]] = np.arange(many.sum())
+        counts = np.zeros((many.sum(), len(own)), np.float32)
+        for k in range(own.shape[1]):
+            at = number[own[:, k]]
+            run = np.flatnonzero(at >= 0)
+            counts[at[run], run] += 1  # a run is there once
+        total[name[many]] += counts @ share
+    for k in range(MANY):
+        some = np.flatnonzero((n > k) & (n <= MANY))
+        if not len(some):
+            break
+        total[name[some]] += share.take(order[first[some] + k] // own.shape[1], axis=0)
+
+
+def gram(h: np.ndarray, at: np.ndarray, weighted: np.ndarray, idf: np.ndarray, total: np.ndarray) -> int:
+    """Adds A'A q by IDF to total, a row of A being the TF-IDF vector, of length 1, of each passage of texts; how many these are.
+
+    To a total with as many rows as q has columns it adds q'A'A q, which takes less. weighted: q times IDF. Both have a last row of zeros, for the places behind a run's words. A passage is a run and the next,
+    so a run's words are summed, and take their share, once for both passages that they are in.
+    """
+    begin, runs = steps(at)
+    stop = np.repeat(at[1:], np.diff(runs))
+    last = np.zeros(len(begin), bool)
+    last[runs[1:][np.diff(runs) > 0] - 1] = True
+    none = len(idf) - 1
+    of = np.append(bucket(h), none).astype(np.int16)
+    for c in range(0, len(begin), RUNS):
+        low, high = max(0, c - 1), min(len(begin), c + RUNS + 1)  # the passages of these runs: from one run before to one behind
+        place = begin[low:high, None] + np.arange(STEP)
+        own = of[np.where(place < stop[low:high, None], place, len(h))]
+        sums = np.zeros((len(own), weighted.shape[1]), np.float32)
+        for k in range(STEP):
+            sums += weighted.take(own[:, k], axis=0)
+        follows = np.append(~last[low : high - 1], False)
+        after = np.where(follows[:, None], np.append(own[1:], own[:1], axis=0), np.int16(none))
+        sums[:-1] += sums[1:] * follows[:-1, None]
+        square = (_lengths(np.concatenate([own, after], axis=1), idf) + np.float32(1e-9))[:, None]
+        if len(total) == total.shape[1]:
+            sums = (sums / np.sqrt(square))[c - low : c - low + RUNS]
+            total += sums.T @ sums
+            continue
+        sums /= square
+        share = sums.copy()
+        share[1:] += sums[:-1] * follows[:-1, None]
+        own, share = own[c - low : c - low + RUNS], share[c - low : c - low + RUNS]
+        _add(own, share, total)
+    return len(begin)
+
+
+def _applied(texts: DataFrame, q: np.ndarray, idf: np.ndarray, last: bool = False) -> np.ndarray:
+    """A'A q, or q'A'A q if last, of all passages of all texts, the only column, by their number.
+
+    Tasks send sums, which others add up by SLICES.
     """
-    bound = min(1 << 31, (3 * SAMPLE_DOCS << 31) // max(1, n))
-    low = docs.where(F.col(text).isNotNull()).select(F.shiftrightunsigned(F.xxhash64(key), 33).alias("h"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).where(F.col("h") < bound)
+    spark, shape = texts.sparkSession, (q.shape[1] if last else len(q), q.shape[1])
+    zero = np.zeros((1, shape[1]), np.float32)
+    table = spark.sparkContext.broadcast((np.concatenate([(q * idf[:, None]).astype(np.float32), zero]), np.append(idf, 0).astype(np.float32)))
 
-    def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        if got := list(_words(batch.column(2), PER_DOC)):
-            row, k, words = zip(*got, strict=True)
-            yield {"h": batch.column(0).take(pa.array(row)), "t": batch.column(1).take(pa.array(row)), "k": np.array(k, np.int32), "words": pa.array(words, pa.binary())}
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (weighted, own), n = table.value, 0
+        total = np.zeros((shape[0] + (not last), shape[1]), np.float32)
+        for batch in batches:
+            for block in wordscan.blocks(batch.column(0)):
+                n += gram(*read(block), weighted, own, total)
+        if n:
+            parts = [x.tobytes() for x in np.split(total[: shape[0]].ravel(), SLICES)]
+            yield pa.RecordBatch.from_pydict({"slice": np.arange(SLICES), "n": np.full(SLICES, n), "part": pa.array(parts, pa.binary())})
 
-    rows = arrow_map(low, "h long, t long, k int, words binary", work)
-    return rows.orderBy("h", "t", "k").limit(SAMPLE_DOCS * PER_DOC).select("words")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = got.setdefault(r["slice"], [0, 0.0])
+                own[0] += r["n"]
+                own[1] = own[1] + np.frombuffer(r["part"], np.float32).astype(np.float64)
+        if got:
+            yield pa.RecordBatch.from_pydict({"slice": list(got), "n": [x[0] for x in got.values()], "part": pa.array([x[1].tobytes() for x in got.values()], pa.binary())})
+
+    schema = "slice long, n long, part binary"
+    few = texts.coalesce(WAVES * spark.sparkContext.defaultParallelism)
+    got = in_batches(in_batches(few, part, schema).repartition(8, "slice"), add, schema).collect()
+    table.destroy()
+    out = np.zeros(shape)
+    for r in got:
+        out.reshape(SLICES, -1)[r["slice"]] = np.frombuffer(r["part"]) / r["n"]
+    return out if last else out * idf[:, None]
 
 
 def fit(docs: DataFrame, items: DataFrame, key: str, text: str) -> Model:
-    """The model of all passages of items, a table with a column text, and of a sample of docs."""
-    seen, n = frequencies(docs, text)
-    return decomposed(sampled(docs, n, key, text), items, seen, n)
+    """The model of all passages of items, a table with a column text, and of docs, whose key doesn't matter.
 
-
-def decomposed(sample: DataFrame, items: DataFrame, seen: np.ndarray, n: int) -> Model:
-    """Randomised SVD: Q spans POWER + 1 applications of A'A to random directions, each a pass of the executors over passages.
-
-    seen, n: what frequencies gave.
+    Randomised SVD: Q spans POWER + 1 applications of A'A to random directions, each a pass of the executors over all texts.
     """
+    seen, n = frequencies(docs, text)
     idf = np.log((n + 1) / (seen + 0.5)).clip(0.01)
-    spark = sample.sparkSession
-
-    def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        if got := list(_words(batch.column(0), None)):
-            yield {"words": pa.array([w for _, _, w in got], pa.binary())}
 
-    rows = sample.union(arrow_map(items.select("text"), "words binary", work))
-    passages = written(rows.repartition(8), "passages")
-
-    def apply(q: np.ndarray) -> np.ndarray:
-        """A'A q, summed from at most 8 partial results; a row of A is a passage's TF-IDF vector of length 1."""
-        table = spark.sparkContext.broadcast(q.astype(np.float32))
-
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(q.shape, np.float32)
-            for batch in batches:
-                for raw in batch.column(0).to_pylist():
-                    b, tf = np.unique(np.frombuffer(raw, "<i4"), return_counts=True)
-                    a = (tf * idf[b]).astype(np.float32)
-                    a /= np.linalg.norm(a) + 1e-9
-                    total[b] += np.outer(a, a @ table.value[b])
-            yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
-
-        got = in_batches(passages, part, "part binary").collect()
-        table.destroy()
-        out = np.zeros(q.shape)
-        for r in got:
-            out += np.frombuffer(r[0], np.float32).reshape(q.shape)
-        return out
+    def apply(q: np.ndarray, last: bool = False) -> np.ndarray:
+        return _applied(docs.select(text), q, idf, last) + _applied(items.select("text"), q, idf, last)
 
     q = np.linalg.qr(np.random.default_rng(5).normal(size=(1 << BITS, RANK + EXTRA)))[0]
     for _ in range(POWER):
         q = np.linalg.qr(apply(q))[0]
-    small = q.T @ apply(q)
-    drop(passages)
+    small = apply(q, last=True)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     basis = q @ turn[:, np.argsort(-values)[:RANK]]
     give_back()
@@ -499,10 +549,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def _tables(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str):
-    seen, n = frequencies(docs, text)
-    sample = written(sampled(docs, n, key, text), "sample")
+    model = fit(docs, benchmark.select(F.col(item_text).alias("text")), key, text)
     for part in _parts(benchmark, item, item_text):
-        model = decomposed(sample, part, seen, n)
         got = part.toArrow()
         yield got["item"].type, docs.sparkSession.sparkContext.broadcast((model, prepare(list(zip(got["item"].to_pylist(), got["text"].to_pylist(), strict=True)), model)))
 
