@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -119,6 +121,65 @@ def salt_offsets(counts: DataFrame, group: str, salt: str) -> DataFrame:
     return counts.select(group, salt, F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
 
 
+MARKS = 26
+"""Ids are marked in 2^MARKS bits at most; with more ids only more rows meet the join."""
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, where: Column | None = None) -> DataFrame:
+    """doc_id, label, text of all rows of docs with a label.
+
+    Labels that are null or not 0 or 1 are left out, and an id labelled twice counts once, with the larger label. Documents
+    whose id's hash no labelled one has are left out before the join, which is exact, so that their texts don't move.
+    """
+    chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    if where is not None:
+        chosen = chosen.where(where)
+    chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    bits = min(MARKS, max(10, (16 * chosen.count()).bit_length()))
+    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            seen[batch.column(0).to_numpy()] = True
+        yield pa.RecordBatch.from_pydict({"slice": [0], "part": pa.array([np.packbits(seen).tobytes()], pa.binary())})
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits - 3, np.uint8)
+        for batch in batches:
+            for part in batch.column(1):
+                seen |= np.frombuffer(part.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_pydict({"slice": [0], "part": pa.array([seen.tobytes()], pa.binary())})
+
+    marks = in_batches(in_batches(chosen.select(slot.alias("slot")), mark, "slice long, part binary").coalesce(1), either, "slice long, part binary").head()
+    table = docs.sparkSession.sparkContext.broadcast(np.frombuffer(marks["part"] if marks else bytes(1 << bits - 3), np.uint8))
+
+    @F.pandas_udf("boolean")
+    def marked(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series(table.value[at >> 3] >> (7 - (at & 7)) & 1 == 1)
+
+    own = docs.select(F.col("doc_id").cast(chosen.schema["doc_id"].dataType).alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    return own.where(marked(slot)).join(chosen.hint("merge"), "doc_id").select("doc_id", "label", "text")
+
+
+def summed(parts: DataFrame) -> dict[int, tuple[float, np.ndarray]]:
+    """parts (slice long, n double, part binary, of float32) to each slice's sums of n and part, added up by tasks."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = got.setdefault(r["slice"], [0.0, 0.0])
+                own[0] += r["n"]
+                own[1] = own[1] + np.frombuffer(r["part"], np.float32).astype(np.float64)
+        if got:
+            yield pa.RecordBatch.from_pydict({"slice": list(got), "n": [x[0] for x in got.values()], "part": pa.array([x[1].tobytes() for x in got.values()], pa.binary())})
+
+    rows = in_batches(parts.repartition(8, "slice"), add, "slice long, n double, part binary").collect()
+    return {r["slice"]: (r["n"], np.frombuffer(r["part"])) for r in rows}
+
+
 def trim() -> None:
     """Returns the free memory of this process to the system, where the C library can."""
     pa.default_memory_pool().release_unused()

@@ -2,9 +2,10 @@
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D. A document fails the base rules if it has under
 MIN_WORDS words, or if over MAX_REPEAT percent of its words lie in 5-word windows found twice or more in
-it. Others get a probability of good quality; under THRESHOLD they are rejected. The model is trained in
-numpy on a bounded sample of labelled rows that pass the base rules (SAMPLE of each label, those with
-the lowest hash of the id), and calibrated by Platt's method on out-of-fold scores. With no row of one of
+it. Others get a probability of good quality; under THRESHOLD they are rejected. The model is trained by the
+executors on all labelled rows that pass the base rules: these are dealt by the hash of the id into shards of
+about SHARD rows, each task trains on a shard, and the model is the mean of the shards' models, weighted by
+their rows. It is calibrated by Platt's method on out-of-fold scores of all these rows. With no row of one of
 the labels there is nothing to learn, and documents that pass the base rules are kept.
 """
 
@@ -19,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import wordscan
-from lodestar.llm.common import arrow_map, give_back, in_batches
+from lodestar.llm.common import arrow_map, drop, give_back, in_batches, labelled, summed, trim, written
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 THRESHOLD = 0.25
-SAMPLE = 1200
+SHARD = 1200
+"""Labelled rows that a task trains on at once, about."""
+GRAIN = 1024
+"""Scores are counted for the calibration in steps of 1 / GRAIN."""
 BITS = 11
 """Word unigrams and bigrams share 2^BITS buckets, character trigrams have as many."""
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -155,78 +159,83 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.05, dec
     return raw.astype(np.float64), float(b - mean @ raw)
 
 
-def train(x: np.ndarray, y: np.ndarray) -> Model | None:
-    """None if a label is missing."""
-    if len(y) == 0 or y.min() == y.max():
-        return None
-    fold = np.arange(len(y)) % 2
-    out = np.zeros(len(y))
-    for k in (0, 1):
-        own = fold != k
-        if y[own].min() != y[own].max():
-            w, b = fit(x[own], y[own])
-            out[fold == k] = x[fold == k] @ w + b
-    slope, shift = platt(out, y)
-    w, b = fit(x, y)
-    return Model(w, b, slope, shift)
-
-
-def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of P(y = 1) = sigmoid(slope * score + shift) by Newton's method, targets smoothed as Platt has them."""
-    n1 = y.sum()
-    n0 = len(y) - n1
+def platt(score: np.ndarray, y: np.ndarray, times: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of P(y = 1) = sigmoid(slope * score + shift) by Newton's method, targets smoothed as Platt has them.
+
+    times: how often each (score, y) is there.
+    """
+    n1 = (y * times).sum()
+    n0 = times.sum() - n1
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     design = np.stack([score, np.ones(len(score))], 1)
     theta = np.array([1.0, 0.0])
     for _ in range(50):
         p = sigmoid(design @ theta)
-        hess = design.T @ (design * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hess, design.T @ (p - target))
+        hess = design.T @ (design * (times * p * (1 - p))[:, None]) + 1e-6 * np.eye(2)
+        step = np.linalg.solve(hess, design.T @ (times * (p - target)))
         theta -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
     return float(max(theta[0], 1e-3)), float(theta[1])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, where=None) -> DataFrame:
-    """At most per_label labelled rows of each value of label, with the documents' text: id, label, text.
-
-    Rows are those with the lowest hashes of the id; labels that are null or not 0 or 1 are left out, and an
-    id labelled twice counts once, with the larger label. The chosen ids, at most 2 x per_label, are broadcast.
+def shard_models(rows: pa.Table) -> pa.Table:
+    """Weights and bias fitted to a shard's rows of fold 0, of fold 1 and of both, times their number, as far as both labels are there."""
+    xs, keep = [], []
+    rows = rows.combine_chunks().sort_by("doc_id")
+    for block in wordscan.blocks(rows["text"]):
+        w = wordscan.words(block)
+        ok = np.flatnonzero(~base_failed(stats(block, w)))
+        xs.append(features(block, w)[ok])
+        keep.append(block.first + ok)
+    x, keep = np.concatenate(xs), np.concatenate(keep)
+    del xs
+    y, fold = rows["label"].to_numpy()[keep].astype(np.float64), rows["fold"].to_numpy()[keep]
+    out = []
+    for k, own in enumerate((fold == 0, fold == 1, np.ones(len(y), bool))):
+        n = int(own.sum())
+        if n and y[own].min() != y[own].max():
+            w, b = fit(x if k == 2 else x[own], y[own])
+            out.append((k, float(n), (np.append(w, b) * n).astype(np.float32).tobytes()))
+    trim()
+    return pa.table({"slice": pa.array([r[0] for r in out], pa.int64()), "n": pa.array([r[1] for r in out], pa.float64()), "part": pa.array([r[2] for r in out], pa.binary())})
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model of all labelled rows of docs that pass the base rules; None if a label is missing among them.
+
+    A repeated document counts once, with its least text. The driver gets sums of models and counts of scores.
     """
-    chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-    if where is not None:
-        chosen = chosen.where(where)
-    chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).withColumn("h", F.xxhash64("doc_id"))
-    parts = [chosen.where(F.col("label") == v).orderBy("h", "doc_id").limit(per_label) for v in (0, 1)]
-    ids = parts[0].union(parts[1]).select("doc_id", "label")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-
-
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model | None:
-    """Features are made on the executors; the driver gets at most 2 x per_label rows of 2^(BITS+1) numbers."""
+    spark = docs.sparkSession
+    once = labelled(docs, labels, "quality").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    rows = written(once.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")), "labelled-quality")
+    shards = max(1, round(rows.count() / SHARD))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    got = summed(dealt.groupBy("shard").applyInArrow(shard_models, "slice long, n double, part binary"))
+    if 2 not in got:
+        drop(rows)
+        return None
+    fitted = {k: Model(part[:-1] / n, float(part[-1] / n)) for k, (n, part) in got.items()}
+    table = spark.sparkContext.broadcast([fitted.get(1), fitted.get(0)])  # of each fold the model that hasn't seen it
 
-    def rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    def scores(batch: pa.RecordBatch) -> Iterator[dict]:
+        label, fold = (batch.column(i).to_numpy() for i in (0, 1))
         for block in wordscan.blocks(batch.column(2)):
             w = wordscan.words(block)
-            ok = np.flatnonzero(~base_failed(stats(block, w)))
-            x = features(block, w)[ok].astype(np.float16)
-            at = pa.array(block.first + ok)
-            yield {"id": batch.column(0).take(at), "label": batch.column(1).take(at), "x": pa.array([r.tobytes() for r in x], pa.binary())}
-
-    sample = labelled_sample(docs, labels, "quality", per_label).select(F.col("doc_id").cast("long"), "label", "text")
-    got = arrow_map(sample, "id long, label int, x binary", rows).toArrow()
-    order = np.lexsort((got["label"].to_numpy(), got["id"].to_numpy()))
-    _, first = np.unique(got["id"].to_numpy()[order], return_index=True)
-    order = order[first]  # a repeated document counts once
-    x = np.frombuffer(b"".join(got["x"].take(pa.array(order)).to_pylist()), np.float16).reshape(len(order), 2 << BITS).astype(np.float32)
-    y = got["label"].to_numpy()[order].astype(np.float64)
-    del got
-    rng = np.random.default_rng(7).permutation(len(order))
-    model = train(x[rng], y[rng])
-    del x
+            own = slice(block.first, block.first + len(block.bounds) - 1)
+            s = np.zeros(len(block.bounds) - 1)
+            for k, model in enumerate(table.value):
+                if model:
+                    s = np.where(fold[own] == k, model.logit(block, w), s)
+            ok = ~base_failed(stats(block, w))
+            yield {"label": label[own][ok], "score": np.rint(np.clip(s[ok], -40, 40) * GRAIN).astype(np.int64)}
+
+    counts = arrow_map(rows.select("label", "fold", "text"), "label int, score long", scores).groupBy("label", "score").count().orderBy("label", "score").toArrow()
+    slope, shift = platt(counts["score"].to_numpy() / GRAIN, counts["label"].to_numpy().astype(np.float64), counts["count"].to_numpy().astype(np.float64))
+    table.destroy()
+    drop(rows)
     give_back()
-    return model
+    return Model(fitted[2].weights, fitted[2].bias, slope, shift)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
