@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import tokens, wordscan
-from lodestar.llm.common import arrow_map, give_back, in_batches
+from lodestar.llm.common import arrow_map, drop, give_back, in_batches, written
 from lodestar.llm.toxicity import _BETWEEN
 
 BITS, RANK, EXTRA, POWER = 13, 128, 8, 2
@@ -101,25 +101,44 @@ TEXTS = 256
 """Texts whose buckets are marked at once: so many times 2^BITS bytes."""
 
 
-def frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """Per bucket the number of documents with it, of all documents; and how many these are."""
+def bucketed(texts: DataFrame) -> DataFrame:
+    """Of each text, the only column, the buckets of its words, 2 bytes each, written once for all passes."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        for block in wordscan.blocks(batch.column(0)):
+            h, at = read(block)
+            own = bucket(h).astype("<i2").tobytes()
+            yield {"words": pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((2 * at).astype(np.int64)), pa.py_buffer(own)]).cast(pa.binary())}
+
+    return written(arrow_map(texts, "words binary", work), "buckets")
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words of bucketed texts, and where texts begin."""
+    column = column.cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return data.view("<i2"), (bounds - bounds[0]) // 2
+
+
+def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Per bucket the number of documents with it, of all bucketed documents; and how many these are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for block in wordscan.blocks(batch.column(0)):
-                h, at = read(block)
-                own = bucket(h)
-                for i in range(0, len(at) - 1, TEXTS):
-                    part = at[i : i + TEXTS + 1]
-                    seen = np.zeros((len(part) - 1, 1 << BITS), bool)
-                    seen[np.repeat(np.arange(len(part) - 1), np.diff(part)), own[part[0] : part[-1]]] = True
-                    total += seen.sum(0)
+            own, at = _texts(batch.column(0))
+            for i in range(0, len(at) - 1, TEXTS):
+                part = at[i : i + TEXTS + 1]
+                seen = np.zeros((len(part) - 1, 1 << BITS), bool)
+                seen[np.repeat(np.arange(len(part) - 1), np.diff(part)), own[part[0] : part[-1]]] = True
+                total += seen.sum(0)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": np.append(seen, -1), "n": np.append(total[seen], n)})
 
-    rows = in_batches(docs.select(text), count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect()  # 2^BITS at most
+    rows = in_batches(texts, count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect()  # 2^BITS at most
     found = dict(map(tuple, rows))
     out = np.zeros(1 << BITS, np.int64)
     n = found.pop(-1, 0)
@@ -127,7 +146,7 @@ def frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return out, n
 
 
-RUNS, MANY, SLICES, WAVES = 2048, 16, 64, 4
+RUNS, MANY, SLICES, WAVES = 4096, 64, 64, 4
 """Runs of words worked on at once, and how often a bucket occurs there to be summed by a product of matrices; parts in which sums
 of buckets travel; tasks of a pass for each core, each of which sends all sums."""
 
@@ -160,11 +179,13 @@ def _add(own: np.ndarray, share: np.ndarray, total: np.ndarray) -> None:
             run = np.flatnonzero(at >= 0)
             counts[at[run], run] += 1  # a run is there once
         total[name[many]] += counts @ share
-    for k in range(MANY):
-        some = np.flatnonzero((n > k) & (n <= MANY))
-        if not len(some):
-            break
-        total[name[some]] += share.take(order[first[some] + k] // own.shape[1], axis=0)
+    few = np.flatnonzero(~many & (name != len(total) - 1))
+    few = few[np.argsort(-n[few], kind="stable")]  # those that occur k times or more come first
+    sums = np.zeros((len(few), share.shape[1]), np.float32)
+    run, room = order // own.shape[1], np.empty_like(sums)
+    for k, m in enumerate(np.searchsorted(-n[few], -np.arange(n[few].max(initial=0)), "left")):
+        sums[:m] += share.take(run[first[few[:m]] + k], axis=0, out=room[:m], mode="clip")
+    total[name[few]] += sums
 
 
 def gram(h: np.ndarray, at: np.ndarray, weighted: np.ndarray, idf: np.ndarray, total: np.ndarray) -> int:
@@ -173,19 +194,25 @@ def gram(h: np.ndarray, at: np.ndarray, weighted: np.ndarray, idf: np.ndarray, t
     To a total with as many rows as q has columns it adds q'A'A q, which takes less. weighted: q times IDF. Both have a last row of zeros, for the places behind a run's words. A passage is a run and the next,
     so a run's words are summed, and take their share, once for both passages that they are in.
     """
+    return _gram(bucket(h), at, weighted, idf, total)
+
+
+def _gram(words: np.ndarray, at: np.ndarray, weighted: np.ndarray, idf: np.ndarray, total: np.ndarray) -> int:
+    """gram of words' buckets."""
     begin, runs = steps(at)
     stop = np.repeat(at[1:], np.diff(runs))
     last = np.zeros(len(begin), bool)
     last[runs[1:][np.diff(runs) > 0] - 1] = True
     none = len(idf) - 1
-    of = np.append(bucket(h), none).astype(np.int16)
+    of = np.append(words, none).astype(np.int16)
     for c in range(0, len(begin), RUNS):
         low, high = max(0, c - 1), min(len(begin), c + RUNS + 1)  # the passages of these runs: from one run before to one behind
         place = begin[low:high, None] + np.arange(STEP)
-        own = of[np.where(place < stop[low:high, None], place, len(h))]
+        own = of[np.where(place < stop[low:high, None], place, len(words))]
         sums = np.zeros((len(own), weighted.shape[1]), np.float32)
+        room = np.empty_like(sums)
         for k in range(STEP):
-            sums += weighted.take(own[:, k], axis=0)
+            sums += weighted.take(own[:, k], axis=0, out=room, mode="clip")
         follows = np.append(~last[low : high - 1], False)
         after = np.where(follows[:, None], np.append(own[1:], own[:1], axis=0), np.int16(none))
         sums[:-1] += sums[1:] * follows[:-1, None]
@@ -203,7 +230,7 @@ def gram(h: np.ndarray, at: np.ndarray, weighted: np.ndarray, idf: np.ndarray, t
 
 
 def _applied(texts: DataFrame, q: np.ndarray, idf: np.ndarray, last: bool = False) -> np.ndarray:
-    """A'A q, or q'A'A q if last, of all passages of all texts, the only column, by their number.
+    """A'A q, or q'A'A q if last, of all passages of all bucketed texts, by their number.
 
     Tasks send sums, which others add up by SLICES.
     """
@@ -215,8 +242,7 @@ def _applied(texts: DataFrame, q: np.ndarray, idf: np.ndarray, last: bool = Fals
         (weighted, own), n = table.value, 0
         total = np.zeros((shape[0] + (not last), shape[1]), np.float32)
         for batch in batches:
-            for block in wordscan.blocks(batch.column(0)):
-                n += gram(*read(block), weighted, own, total)
+            n += _gram(*_texts(batch.column(0)), weighted, own, total)
         if n:
             parts = [x.tobytes() for x in np.split(total[: shape[0]].ravel(), SLICES)]
             yield pa.RecordBatch.from_pydict({"slice": np.arange(SLICES), "n": np.full(SLICES, n), "part": pa.array(parts, pa.binary())})
@@ -246,16 +272,18 @@ def fit(docs: DataFrame, items: DataFrame, key: str, text: str) -> Model:
 
     Randomised SVD: Q spans POWER + 1 applications of A'A to random directions, each a pass of the executors over all texts.
     """
-    seen, n = frequencies(docs, text)
+    texts = [bucketed(docs.select(text)), bucketed(items.select("text"))]
+    seen, n = frequencies(texts[0])
     idf = np.log((n + 1) / (seen + 0.5)).clip(0.01)
 
     def apply(q: np.ndarray, last: bool = False) -> np.ndarray:
-        return _applied(docs.select(text), q, idf, last) + _applied(items.select("text"), q, idf, last)
+        return sum(_applied(t, q, idf, last) for t in texts)
 
     q = np.linalg.qr(np.random.default_rng(5).normal(size=(1 << BITS, RANK + EXTRA)))[0]
     for _ in range(POWER):
         q = np.linalg.qr(apply(q))[0]
     small = apply(q, last=True)
+    drop(*texts)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     basis = q @ turn[:, np.argsort(-values)[:RANK]]
     give_back()
